@@ -4,7 +4,7 @@ A source's documents share one rate: its target over its size. A document gets t
 and one more with the fractional part as probability. Fractions are settled in pairs: of two open documents one hands
 word mass to the other, in a direction drawn so that both keep their probability, until one of them is settled (0 or
 1 more). A pair's total of words stays as it was, so after all pairs a source is off its target by at most one
-document. Blocks of BLOCK open documents are folded in parallel, the one document that each leaves open meets those of
+document; one document is then turned over to make up for most of that. Blocks of BLOCK open documents are folded in parallel, the one document that each leaves open meets those of
 other blocks at the next level, and the last of a source is settled by its own draw.
 
 Draws are hashes of the pair's ids, blocks are hashes of the id: reruns agree, whatever the partitions. Rows that
@@ -111,8 +111,18 @@ def takes(sized: DataFrame, weights=WEIGHTS, share: float = 1.0, cap: float = CA
         more = more.unionByName(d)
     more = more.select(F.col("unit.doc_id").alias("_d"), F.col("unit.source").alias("_s"), F.col("unit.size").alias("_z"), "more")
     same = base["doc_id"].eqNullSafe(more["_d"]) & base["source"].eqNullSafe(more["_s"]) & (base["size"] == more["_z"])
-    copies = F.col("base") + F.coalesce("more", F.when(F.col("p") >= 1, 1).otherwise(0))
-    return base.join(more, same, "left").select("doc_id", "source", "size", "n", "source_size", "target", copies.alias("copies"))
+    rounded = written(base.join(more, same, "left").select("doc_id", "source", "size", "n", "source_size", "target", "base", F.coalesce("more", F.lit(0)).alias("more"), ((F.col("p") > 0) & (F.col("p") < 1)).alias("free")), "rounded")
+    taken = rounded.groupBy("source").agg((F.first("target") - F.sum((F.col("base") + F.col("more")) * F.col("size") * F.col("n"))).alias("off")).withColumnRenamed("source", "_source")
+    # the last draw of a source leaves up to one document too much or too little: the document that makes up for most of
+    # it is settled the other way, so every document still has the whole part of its rate in copies, or one more
+    free = rounded.filter("free").join(taken, rounded["source"].eqNullSafe(taken["_source"]))
+    gap = F.abs(F.abs("off") - F.col("size") * F.col("n"))
+    free = free.filter((F.col("more") == F.when(F.col("off") > 0, 0).otherwise(1)) & (gap < F.abs("off")))
+    turned = free.groupBy("_source").agg(F.min(F.struct(gap.alias("gap"), "size", "doc_id", "n")).alias("t")).select("_source", F.col("t.doc_id").alias("_d"), F.col("t.size").alias("_z"))
+    turned = written(turned, "turned")
+    here = rounded["source"].eqNullSafe(turned["_source"]) & rounded["doc_id"].eqNullSafe(turned["_d"]) & (rounded["size"] == turned["_z"])
+    more = F.when(F.col("_z").isNotNull(), 1 - F.col("more")).otherwise(F.col("more"))
+    return rounded.join(turned, here, "left").select("doc_id", "source", "size", "n", "source_size", "target", (F.col("base") + more).alias("copies"))
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
