@@ -1,6 +1,175 @@
-def queries():
-    return {}
+"""The engine's operators as queries over the documents table, and the SQL that they are held against."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as texts
+from ..functions.stem import with_stem
+from ..operators import index as indexes
+from ..operators import postings as lists
+from ..operators.search import Config, execute, matches, score_document, search, search_batch
+from ..sources import ingest
+from . import oracle as o
+from .query import And, Not, Or, Phrase, Term, parse
+
+#: All retrieved documents, as the tables are small beside this.
+ALL = 10**9
+BATCH = {0: "tion ther", 1: "tion AND ther", 2: "tion NOT ther", 3: '"anea eriner"', 4: "reed", 5: "pour AND heat", 6: "reed pour", 7: "zzzz"}
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.from_table(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
+
+
+def index(spark: SparkSession, sf_dir: str) -> indexes.Index:
+    return indexes.build(corpus(spark, sf_dir))
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    return df.withColumn("positions", F.concat_ws(" ", F.col("positions").cast("array<string>"))) if "positions" in df.columns else df
+
+
+def _ranked(node_or_query, weights: dict[str, int], candidates: str, k: int = 10, config: Config | None = None):
+    c = config or Config(k)
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ix = index(spark, sf_dir)
+        return search(ix, node_or_query, c) if isinstance(node_or_query, str) else execute(ix, node_or_query, c)
+
+    return run, o.ranked(weights, candidates, c.top_k, c.k1, c.b)
+
+
+def _found(query: str, candidates: str):
+    """The documents that a query admits."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return matches(index(spark, sf_dir), parse(query)).select("doc_id")
+
+    return run, f"{o.INDEX} SELECT doc_id FROM {candidates} c"
+
+
+def _lists(op, sql: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        p = indexes.postings(corpus(spark, sf_dir))
+        return _shown(op(p))
+
+    return run, f"{o.INDEX} {sql}"
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts.token_rows(corpus(spark, sf_dir), "text", "doc_id")
+
+
+def _token_counts(spark, d):
+    return _tokens(spark, d).groupBy("token").agg(F.count("*").alias("n"))
+
+
+def _stopwords(spark, d):
+    return _tokens(spark, d).filter(~texts.is_stopword(F.col("token"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+def _numbers(spark, d):
+    return _tokens(spark, d).filter(~texts.is_short_number(F.col("token"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+def _normalize(spark, d):
+    return texts.normalized(corpus(spark, d), "text", "doc_id").select("doc_id", "position", "term")
+
+
+def _stems(spark, d):
+    return with_stem(_tokens(spark, d).select("token").distinct())
+
+
+def _doc_lengths(spark, d):
+    return index(spark, d).docs.select("doc_id", "length")
+
+
+def _stats(spark, d):
+    ix = index(spark, d)
+    n = ix.terms.agg(F.count("*").alias("vocab_size"), F.sum("df").cast("long").alias("total_postings"))
+    return ix.stats.select("num_docs", F.round("avg_doc_length", 6).alias("avg_doc_length")).crossJoin(F.broadcast(n))  # a row each
+
+
+def _one_doc(spark, d):
+    ix = index(spark, d)
+    return score_document(ix, ["tion", "ther", "tion"], 7)
+
+
+def _batch(spark, d):
+    return search_batch(index(spark, d), BATCH).select("query_id", "rank", "doc_id", "score")
+
+
+def _batch_sql() -> str:
+    rules = {
+        0: ({"tion": 1, "ther": 1}, f"(SELECT * FROM {o.has('tion')} UNION SELECT * FROM {o.has('ther')})"), 1: ({"tion": 1, "ther": 1}, f"(SELECT * FROM {o.has('tion')} INTERSECT SELECT * FROM {o.has('ther')})"),
+        2: ({"tion": 1}, f"(SELECT * FROM {o.has('tion')} EXCEPT SELECT * FROM {o.has('ther')})"), 3: ({"anea": 1, "erin": 0, "eriner": 1}, o.phrase("anea", "eriner")),
+        4: ({"reed": 1}, o.has("reed")), 5: ({"pour": 1, "heat": 1}, f"(SELECT * FROM {o.has('pour')} INTERSECT SELECT * FROM {o.has('heat')})"), 6: ({"reed": 1, "pour": 1}, f"(SELECT * FROM {o.has('reed')} UNION SELECT * FROM {o.has('pour')})"),
+    }
+    words = ", ".join(f"({q}, '{t}', {n})" for q, (ws, _) in rules.items() for t, n in ws.items())
+    admitted = " UNION ALL ".join(f"SELECT {q} AS query_id, doc_id FROM {c} c{q}" for q, (_, c) in rules.items())
+    return f"""{o.INDEX},
+words(query_id, term, times) AS (VALUES {words}), admitted AS ({admitted}),
+scores AS (SELECT a.query_id, p.doc_id, round(sum(w.times * t.idf * p.tf * 2.2 / (p.tf + 1.2 * 0.25 + 1.2 * 0.75 * d.length / greatest(s.avg_doc_length, 1.0))), 6) AS score
+  FROM admitted a JOIN words w ON w.query_id = a.query_id JOIN postings p ON p.term = w.term AND p.doc_id = a.doc_id JOIN terms t ON t.term = p.term JOIN docs d ON d.doc_id = p.doc_id, stats s GROUP BY ALL)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10"""
+
+
+_T, _H = o.has("tion"), o.has("ther")
+_ALL_TOKENS = f"{o.TOKENS} SELECT doc_id, CAST(count(*) AS BIGINT) AS n FROM tokens WHERE {{}} GROUP BY doc_id"
+_P = "SELECT term, doc_id, tf, positions FROM postings"
+
+_QUERIES = {
+    "tokenize": (_token_counts, f"{o.TOKENS} SELECT token, count(*) AS n FROM tokens GROUP BY token"),
+    "token_positions": (_tokens, f"{o.TOKENS} SELECT doc_id, position, token FROM tokens"),
+    "stopword_filter": (_stopwords, _ALL_TOKENS.format("token NOT IN (SELECT word FROM stop)")),
+    "number_filter": (_numbers, _ALL_TOKENS.format("NOT regexp_full_match(token, '[0-9]{1,3}')")),
+    "normalize": (_normalize, f"{o.INDEX} SELECT doc_id, position, term FROM kept"),
+    "stem_vocabulary": (_stems, f"{o.STEMS} SELECT token, stem FROM stems"),
+    "postings": _lists(lambda p: p, _P),
+    "doc_freq": (lambda s, d: index(s, d).terms.select("term", "df"), f"{o.INDEX} SELECT term, df FROM terms"),
+    "idf": (lambda s, d: index(s, d).terms.select("term", F.round("idf", 6).alias("idf")), f"{o.INDEX} SELECT term, round(idf, 6) AS idf FROM terms"),
+    "doc_lengths": (_doc_lengths, f"{o.INDEX} SELECT doc_id, length FROM docs"),
+    "corpus_stats": (_stats, f"{o.INDEX} SELECT num_docs, round(avg_doc_length, 6) AS avg_doc_length, count(*) AS vocab_size, CAST(sum(df) AS BIGINT) AS total_postings FROM terms, stats GROUP BY ALL"),
+    "forward_lookup": (lambda s, d: index(s, d).docs.filter("doc_id IN (3, 77, 123456789)"), f"{o.INDEX} SELECT doc_id, length, title FROM docs WHERE doc_id IN (3, 77, 123456789)"),
+    "term_lookup": _lists(lambda p: lists.lookup(p, "tion"), f"{_P} WHERE term = 'tion'"),
+    "posting_find": _lists(lambda p: lists.find(p, "tion", 7), f"{_P} WHERE term = 'tion' AND doc_id = 7"),
+    "posting_seek": _lists(lambda p: lists.seek(p, "tion", 100), f"{_P} WHERE term = 'tion' AND doc_id >= 100 ORDER BY doc_id LIMIT 1"),
+    "posting_seek_past": _lists(lambda p: lists.seek(p, "tion", 100, past=True), f"{_P} WHERE term = 'tion' AND doc_id > 100 ORDER BY doc_id LIMIT 1"),
+    "posting_intersect": _lists(lambda p: lists.intersect(lists.lookup(p, "tion"), lists.lookup(p, "ther")), f"SELECT * FROM {_T} INTERSECT SELECT * FROM {_H}"),
+    "posting_union": _lists(lambda p: lists.union(lists.lookup(p, "tion"), lists.lookup(p, "ther")), f"SELECT * FROM {_T} UNION SELECT * FROM {_H}"),
+    "posting_subtract": _lists(lambda p: lists.subtract(lists.lookup(p, "tion"), lists.lookup(p, "ther")), f"SELECT * FROM {_T} EXCEPT SELECT * FROM {_H}"),
+    "bool_and": _found("tion AND ther", f"(SELECT * FROM {_T} INTERSECT SELECT * FROM {_H})"),
+    "bool_or": _found("tion ther", f"(SELECT * FROM {_T} UNION SELECT * FROM {_H})"),
+    "bool_not": _found("tion NOT ther", f"(SELECT * FROM {_T} EXCEPT SELECT * FROM {_H})"),
+    "bool_mixed": _found("tion AND ther NOT thon reed", f"(SELECT * FROM (SELECT * FROM {_T} INTERSECT (SELECT * FROM {_H} EXCEPT SELECT * FROM {o.has('thon')})) UNION SELECT * FROM {o.has('reed')})"),
+    "phrase": _found('"anea eriner"', o.phrase("anea", "eriner")),
+    "phrase3": _found('"anea eriner thanea"', o.phrase("anea", "eriner", "thanea")),
+    "phrase_repeat": _found('"tion tion"', o.phrase("tion", "tion")),
+    "phrase_gap": _found('"tion of ther"', "(SELECT doc_id FROM docs WHERE FALSE)"),
+    "bm25_single_doc": (_one_doc, f"{o.scored({'tion': 2, 'ther': 1})} SELECT CAST(7 AS BIGINT) AS doc_id, coalesce(round(sum(score), 6), 0) AS score FROM scores WHERE doc_id = 7"),
+    "bm25_or": _ranked(Or(Term("tion"), Term("ther")), {"tion": 1, "ther": 1}, f"(SELECT * FROM {_T} UNION SELECT * FROM {_H})", ALL),
+    "bm25_and": _ranked(And(Term("tion"), Term("ther")), {"tion": 1, "ther": 1}, f"(SELECT * FROM {_T} INTERSECT SELECT * FROM {_H})", ALL),
+    "bm25_not": _ranked(Not(Term("tion"), Term("ther")), {"tion": 1}, f"(SELECT * FROM {_T} EXCEPT SELECT * FROM {_H})", ALL),
+    "bm25_phrase": _ranked(Phrase(("anea", "eriner")), {"anea": 1, "eriner": 1}, o.phrase("anea", "eriner"), ALL),
+    "bm25_dup_term": _ranked("tion tion", {"tion": 2}, _T, ALL),
+    "bm25_params": _ranked("tion ther", {"tion": 1, "ther": 1}, f"(SELECT * FROM {_T} UNION SELECT * FROM {_H})", config=Config(25, 0.9, 0.4)),
+    "bm25_cross_branch": _ranked("reed tion NOT ther", {"reed": 1, "tion": 1}, f"(SELECT * FROM {o.has('reed')} UNION (SELECT * FROM {_T} EXCEPT SELECT * FROM {_H}))", ALL),
+    "topk": _ranked("tion", {"tion": 1}, _T, 5),
+    "search_or": _ranked("tion ther", {"tion": 1, "ther": 1}, f"(SELECT * FROM {_T} UNION SELECT * FROM {_H})"),
+    "search_and": _ranked("pour AND heat", {"pour": 1, "heat": 1}, f"(SELECT * FROM {o.has('pour')} INTERSECT SELECT * FROM {o.has('heat')})"),
+    "search_batch": (_batch, _batch_sql()),
+    "quirk_leading_not": _found("NOT tion", f"(SELECT * FROM {o.has('not')} UNION SELECT * FROM {_T})"),
+    "quirk_and_not": _found("tion AND NOT ther", f"(SELECT * FROM (SELECT * FROM {_T} INTERSECT SELECT * FROM {o.has('not')}) UNION SELECT * FROM {_H})"),
+    "quirk_or_word": _found("tion OR ther", f"(SELECT * FROM {_T} UNION SELECT * FROM {o.has('or')} UNION SELECT * FROM {_H})"),
+}
+
+
+def queries() -> dict:
+    return {name: run for name, (run, _) in _QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in _QUERIES.items()}
