@@ -18,7 +18,9 @@ import hashlib
 import json
 import os
 import tempfile
+import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -42,6 +44,12 @@ class Merges:
         self.suffix, self.vocab = model["end_of_word_suffix"], model["vocab"]
         self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): k for k, m in enumerate(model["merges"])}
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
+        self.symbols = {c: i for c, i in self.vocab.items() if len(c) == 1 and c + self.suffix in self.vocab}
+        self.end_symbols = {c: self.vocab[c + self.suffix] for c in self.symbols}
+        made = [(self.vocab[a] * len(self.token) * 2 + self.vocab[b], k, self.vocab[a + b]) for (a, b), k in self.ranks.items()]
+        self.merged = np.array([m for _, _, m in made], dtype=np.int64)
+        made.sort()
+        self.pair_keys, self.pair_rank = (np.array([m[i] for m in made], dtype=np.int64) for i in (0, 1))
 
     def __call__(self, word: str) -> list[int]:
         """Ids of a word in byte letters: the pair of least rank is merged, leftmost first, until none is left."""
@@ -66,6 +74,67 @@ class Merges:
                 pairs[i] = rank((parts[i], parts[i + 1]), never)
         return [self.vocab[p] for p in parts if p in self.vocab]
 
+    def many(self, words: list[str], rows: int = 2048) -> list[list[int]]:
+        """The ids of many words, of similar length at a time: their rows are then short and stay in the processor's cache."""
+        order = sorted(range(len(words)), key=lambda k: len(words[k]))
+        out: list[list[int]] = [[]] * len(words)
+        for i in range(0, len(order), rows):
+            part = order[i : i + rows]
+            for k, ids in zip(part, self._together([words[k] for k in part]), strict=True):
+                out[k] = ids
+        return out
+
+    def _together(self, words: list[str]) -> list[list[int]]:
+        """The same for many words at once: each round merges the least pair of every word that has one."""
+        out: list[list[int] | None] = [None] * len(words)
+        rows = []
+        for k, w in enumerate(words):
+            if w in self.special or len(w) > 32 or not all(c in self.symbols for c in w):
+                out[k] = self(w)
+            else:
+                rows.append(k)
+        if not rows:
+            return out
+        width = max(len(words[k]) for k in rows)
+        n = np.array([len(words[k]) for k in rows])
+        # columns of symbol ids; behind a word's end stands -1, which is in no pair
+        x = np.full((len(rows), width + 2), -1, dtype=np.int64)
+        codes, ends = self.symbols, self.end_symbols
+        flat = np.fromiter((codes[c] for k in rows for c in words[k]), dtype=np.int64, count=int(n.sum()))
+        at = np.arange(width + 2)
+        x[at[None, :] < n[:, None]] = flat
+        x[np.arange(len(rows)), n - 1] = [ends[words[k][-1]] for k in rows]
+        never = len(self.pair_rank)
+        ranks = self._ranks(x[:, :-1], x[:, 1:])
+        live = np.arange(len(rows))
+        while len(live):
+            r = ranks[live]
+            col = r.argmin(axis=1)
+            best = r[np.arange(len(live)), col]
+            ok = best < never
+            live, col, best = live[ok], col[ok], best[ok]
+            if not len(live):
+                break
+            # what follows the pair moves up by one
+            shift = np.minimum(at[None, :] + (at[None, :] > col[:, None]), width + 1)
+            y = np.take_along_axis(x[live], shift, axis=1)
+            y[np.arange(len(live)), col] = self.merged[best]
+            x[live] = y
+            q = np.take_along_axis(ranks[live], np.minimum(shift[:, :-1], width), axis=1)
+            one = np.arange(len(live))
+            q[one, col] = self._ranks(y[one, col], y[one, col + 1])
+            left = np.maximum(col - 1, 0)
+            q[one, left] = self._ranks(y[one, left], y[one, left + 1])
+            ranks[live] = q
+        for k, row in zip(rows, x.tolist(), strict=True):
+            out[k] = row[: row.index(-1)]
+        return out
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a * len(self.token) * 2 + b
+        i = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where((self.pair_keys[i] == key) & (a >= 0) & (b >= 0), self.pair_rank[i], len(self.pair_rank))
+
     def _long(self, parts: list[str]) -> list[int]:
         """The same with a heap over a linked list, for words of any length."""
         from heapq import heapify, heappop, heappush
@@ -125,9 +194,8 @@ def compile_lexicon(docs: DataFrame, tokenizer: str, size: int = LEXICON_SIZE) -
     by_bytes = sorted((r[0].encode(), r[0]) for r in frequent.select("word").collect())
     folder = tempfile.mkdtemp(prefix="lexicon-")
     path = f"{folder}/new"
-    build([b for b, _ in by_bytes], [merges(w) for _, w in by_bytes], path)
-    with open(path, "rb") as f:
-        name = f"lexicon-{hashlib.file_digest(f, 'sha256').hexdigest()[:32]}.bin"
+    build([b for b, _ in by_bytes], merges.many([w for _, w in by_bytes]), path)
+    name = f"lexicon-{uuid.uuid4().hex}.bin"  # a name is given out once in a session
     os.rename(path, f"{folder}/{name}")
     docs.sparkSession.sparkContext.addFile(f"{folder}/{name}")
     return name
@@ -141,9 +209,11 @@ def encoder(tokenizer: str, lexicon: str) -> Chunks:
         merges, known = Merges(tokenizer), Lexicon(SparkFiles.get(lexicon))
 
         def fill(ws: list[str]) -> list[tuple[bytes, bytes]]:
+            numbers = known.numbers([w.encode() for w in ws]).tolist()
+            unseen = iter(merges.many([w for w, k in zip(ws, numbers, strict=True) if k < 0]))
             out = []
-            for w, k in zip(ws, known.numbers([w.encode() for w in ws]).tolist(), strict=True):
-                ids = known.outputs(k) if k >= 0 else merges(w)
+            for k in numbers:
+                ids = known.outputs(k) if k >= 0 else next(unseen)
                 out.append((b" ".join(b"%d" % i for i in ids), " ".join(map(merges.token.__getitem__, ids)).encode()))
             return out
 

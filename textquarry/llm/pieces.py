@@ -3,7 +3,8 @@
 For a tokenizer of this kind (NFC, white space as one blank, lower case; runs of letters, single numbers and runs of
 others as words; merges within a word) the ids of a text are those of its chunks in order, so a chunk is worked out
 once per worker and then looked up. Chunks of ASCII and common Latin letters are split here; any other chunk goes
-through the library's own normalizer and pre-tokenizer. Caches are emptied when they hold `most` entries.
+through the library's own normalizer and pre-tokenizer. Caches hold the most recent entries, a
+bounded number.
 """
 
 from __future__ import annotations
@@ -59,46 +60,61 @@ class Splitter:
         return self._plain(chunk)
 
     def _plain(self, chunk: str) -> list[str]:
+        if chunk.isascii() and chunk.isalpha():
+            return [chunk.lower()]
         if _PLAIN.fullmatch(chunk):
             return [spell(w) for w in _SPLIT.findall(chunk.lower())]
         t = self.tokenizer
         return [w for w, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(chunk))]
 
 
+class Recent(dict):
+    """A dict that ages: when it holds `most` entries they become the old ones, and old ones that are asked for come back."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def age(self) -> None:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
+    def again(self, key):
+        """The value of a key that is not in the dict, if it is among the old ones."""
+        value = self.old.get(key)
+        if value is not None:
+            self[key] = value
+        return value
+
+
 class Chunks:
     """A cache from chunks to values. fill(words) gives a value for each new word; join makes a chunk's value of its words'."""
 
-    def __init__(self, splitter: Splitter, fill: Callable[[list[str]], list], join: Callable[[list], object], most: int = 250_000):
-        self.splitter, self.fill, self.join, self.most = splitter, fill, join, most
-        self.chunks: dict[str, object] = {}
-        self.words: dict[str, object] = {}
+    def __init__(self, splitter: Splitter, fill: Callable[[list[str]], list], join: Callable[[list], object], most: int = 200_000):
+        self.splitter, self.fill, self.join = splitter, fill, join
+        self.chunks, self.words = Recent(most), Recent(most)
 
     def values(self, texts: list[str]) -> list[list]:
-        """The values of each text's chunks."""
-        # texts that come together are looked up together: new words go to fill() as one list
-        if len(self.chunks) > self.most:
-            self.chunks = {}
-        if len(self.words) > self.most:
-            self.words = {}
+        """The values of each text's chunks. Texts that come together are looked up together: new words go to fill() as one list."""
+        self.chunks.age()
+        self.words.age()
         split = [words(t) for t in texts]
-        get = self.chunks.get
+        get, again = self.chunks.get, self.chunks.again
         out = [list(map(get, ws)) for ws in split]
         new: dict[str, list[str]] = {}
         for ws, vs in zip(split, out, strict=True):
             if None in vs:
                 for w, v in zip(ws, vs, strict=True):
-                    if v is None and w not in new:
+                    if v is None and w not in new and again(w) is None:
                         new[w] = self.splitter(w)
-        if new:
-            fresh = list({w: None for ws in new.values() for w in ws if w not in self.words})
-            if fresh:
-                self.words.update(zip(fresh, self.fill(fresh), strict=True))
-            known = self.words
-            for chunk, ws in new.items():
-                self.chunks[chunk] = known[ws[0]] if len(ws) == 1 else self.join([known[w] for w in ws])
-            get = self.chunks.get
-            out = [list(map(get, ws)) if None in vs else vs for ws, vs in zip(split, out, strict=True)]
-        return out
+        known = self.words
+        fresh = list({w: None for ws in new.values() for w in ws if w not in known and known.again(w) is None})
+        if fresh:
+            known.update(zip(fresh, self.fill(fresh), strict=True))
+        for chunk, ws in new.items():
+            self.chunks[chunk] = known[ws[0]] if len(ws) == 1 else self.join([known[w] for w in ws])
+        return [list(map(get, ws)) if None in vs else vs for ws, vs in zip(split, out, strict=True)]
 
 
 def in_groups(texts: list[str], chars: int = 2_000_000):
