@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
@@ -47,5 +48,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, **conf):
+    """Session settings for the jobs inside; __ in a name stands for a dot. What was set before comes back."""
+    names = {k.replace("__", "."): str(v) for k, v in conf.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def filtered_join(spark: SparkSession, n: int):
+    """Settings under which a join on a written key table of n rows first filters its other side by a Bloom filter of the keys.
+
+    The filter has 16 bits a key and 8 MB at most, so its size is bounded; past that it lets more rows through to the
+    join, which is exact either way. The key table needs a filter of its own in the plan, else Spark makes none.
+    """
+    at = "spark__sql__optimizer__runtime__bloomFilter__"
+    bits = min(max(1 << 16, 16 * n), 1 << 26)
+    return settings(spark, **{f"{at}applicationSideScanSizeThreshold": "0b", f"{at}creationSideThreshold": "1t", f"{at}expectedNumItems": max(n, 1), f"{at}numBits": bits})
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import words, written
+from .common import filtered_join, words, written
 from .components import Forest, components
 
 BANDS, ROWS, BLOCK = 24, 6, 512
@@ -186,14 +186,16 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     placed = clusters.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
     placed = written(placed.select(F.col("node").alias("id"), F.col("component").alias("cluster"), "blocks", "block"), "blocks")
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    found = texts.join(placed, texts["doc_id"] == placed["id"])
+    # texts outside of all clusters, nearly all of them, are held back before the shuffle
+    found = texts.join(placed.filter("blocks > 0"), texts["doc_id"] == placed["id"])
     # block k stands left in the pairs (k, k..), and right in the pairs (..k-1, k)
     pair = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda k: F.struct(F.least(k, F.col("block")).alias("a"), F.greatest(k, F.col("block")).alias("b"), F.when(k < F.col("block"), 1).otherwise(0).alias("side")),
     )
     members = found.select("cluster", "doc_id", "text", F.explode(pair).alias("p")).select("cluster", "p.a", "p.b", "p.side", "doc_id", "text")
-    links = confirm(members, size, percent, parts)
+    with filtered_join(spark, placed.count()):
+        links = written(confirm(members, size, percent, parts), "links")
     labels = components(links)
     # nodes are the classes' smallest ids; every row finds its class by its set
     by_set = classes.join(labels, classes["rep"] == labels["node"], "left").select("set_hash", F.coalesce("component", "rep").alias("_component"))
