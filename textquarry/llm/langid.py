@@ -36,6 +36,11 @@ def grams(word: str) -> list[str]:
     return [w[i : i + n] for n in (1, 2, 3, 4) for i in range(len(w) - n + 1) if n > 1 or w[i] != " "]
 
 
+def gram_key(gram: str) -> int:
+    """An n-gram of at most four characters as one integer of 16 bits each; characters past U+FFFF count as one."""
+    return sum(min(ord(c), 0xFFFF) << 16 * k for k, c in enumerate(gram))
+
+
 def script_of_word(word: str) -> str:
     return "latin" if word.isascii() else next((name for name, run in _RUNS.items() if run.match(word)), "other")
 
@@ -64,34 +69,59 @@ class Words:
 
     FAR = -60.0  # of a language that is no candidate
 
-    def __init__(self, model: dict, most: int = 200_000):
-        self.langs, self.score, self.scripts, self.most = model["langs"], {g: np.array(s) for g, s in model["score"].items()}, model["scripts"], most
-        self.default = np.array(model["default"])
+    def __init__(self, model: dict, most: int = 300_000):
+        self.langs, self.scripts, self.most = model["langs"], model["scripts"], most
+        # a row per known n-gram in the order of their keys, and the last one for all others
+        keys = np.array([gram_key(g) for g in model["score"]], dtype=np.uint64)
+        self.keys, first = np.unique(keys, return_index=True)
+        self.score = np.array([*model["score"].values(), model["default"]]).reshape(-1 if self.langs else len(model["score"]) + 1, len(self.langs))[[*first, -1]]
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
         self.table = np.zeros((1024, len(self.langs)))
 
-    def one(self, word: str) -> np.ndarray:
-        gs = grams(word)
+    def many(self, new: list[str]) -> np.ndarray:
+        """The scores of words, all n-grams of all of them looked up at once."""
+        lower = [f" {w.lower()} " for w in new]
+        size = np.fromiter(map(len, lower), dtype=np.int64, count=len(new))
+        begin = np.cumsum(size) - size
+        codes = np.minimum(np.frombuffer("".join(lower).encode("utf-32-le"), "<u4"), 0xFFFF).astype(np.uint64)
+        left = np.repeat(size, size) - (np.arange(len(codes)) - np.repeat(begin, size))  # characters from here to the word's end
+        total, key = np.zeros((len(codes), len(self.langs))), np.zeros(len(codes), dtype=np.uint64)
+        for n in range(1, 5):
+            key[: len(codes) - n + 1] |= codes[n - 1 :] << np.uint64(16 * (n - 1))
+            here = np.flatnonzero((left >= n) & ((n > 1) | (codes != 32)))
+            total[here] += self.score[self._row(key[here])]
+        n = 4 * size - 8  # n-grams of each word: size - 2, size - 1, size - 2 and size - 3
         # mean per letter times a slowly growing length, so that one long word does not outvote a sentence
-        s = sum((self.score.get(g, self.default) for g in gs), np.zeros(len(self.langs))) / len(gs)
-        s = (s - s.max()) * min(len(word), 12)
-        fits = self.scripts.get(script_of_word(word))
-        return s if fits is None or not any(fits) else np.where(fits, s, self.FAR)
+        s = np.add.reduceat(total, begin) / n[:, None]
+        s = (s - s.max(axis=1, keepdims=True)) * np.minimum(np.fromiter(map(len, new), dtype=np.int64, count=len(new)), 12)[:, None]
+        for script in set(map(script_of_word, new)):
+            fits = self.scripts.get(script)
+            if fits is not None and any(fits) and not all(fits):
+                here = np.array([script_of_word(w) == script for w in new])
+                s[here] = np.where(fits, s[here], self.FAR)
+        return s
+
+    def _row(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, len(self.score) - 1)
 
     def rows(self, ws: list[str]) -> np.ndarray:
         found = list(map(self.number.get, ws))
         if None in found:
             if len(self.number) > self.most:
                 self.clear()
-            for w in ws:
-                if w not in self.number:
-                    k = self.number[w] = len(self.number)
-                    if k == len(self.table):
-                        self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                    self.table[k] = self.one(w)
+            new = list(dict.fromkeys(w for w in ws if w not in self.number))
+            for i in range(0, len(new), 4096):  # a bounded number of n-grams at once
+                part, k = new[i : i + 4096], len(self.number)
+                while k + len(part) > len(self.table):
+                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+                self.table[k : k + len(part)] = self.many(part)
+                self.number.update(zip(part, range(k, k + len(part))))
             found = list(map(self.number.__getitem__, ws))
         return self.table[np.array(found)]
 
