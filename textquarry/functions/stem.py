@@ -11,18 +11,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Steps 2 and 3: replacement -> endings. No ending of a step ends another but a longer one of the same step, so the
-#: longest that fits is the one.
-STEP2 = {
-    "ate": "ational ation ator", "tion": "tional", "ence": "enci", "ance": "anci", "ize": "ization izer", "able": "abli", "al": "alli alism aliti",
-    "ent": "entli", "e": "eli", "ous": "ousli ousness", "ive": "iveness iviti", "ful": "fulness", "ble": "biliti",
-}
-STEP3 = {"ic": "ical iciti icate", "al": "alize", "": "ness ful ative"}
-STEP4 = {"": "ou al er ic iti ion ism ate ous ive ize ant ent ance able ible ence ment ement"}
-
-
-def _endings(table: dict[str, str]) -> list[tuple[str, str]]:
-    return sorted(((e, to) for to, es in table.items() for e in es.split()), key=lambda x: (-len(x[0]), x[0]))
+# Endings and what replaces them, in the order of the published algorithm. No ending of a step ends
+# another but a longer one of the same step, so the longest that fits is the one.
+STEP2 = (
+    "ational:ate tional:tion enci:ence anci:ance izer:ize abli:able alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al "
+    "iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble"
+)
+STEP3 = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"
+STEP4 = "al: ance: ence: er: ic: able: ible: ant: ement: ment: ent: ion: ou: ism: ate: iti: ous: ive: ize:"
+
+
+def _endings(table: str) -> list[tuple[str, str]]:
+    return sorted((tuple(x.split(":")) for x in table.split()), key=lambda x: -len(x[0]))
 
 
 _STEPS = ((_endings(STEP2), 0), (_endings(STEP3), 0), (_endings(STEP4), 1))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.stem import STEP2, STEP3, STEP4
+from ..functions.stem import STEP2, STEP3, STEP4, _endings
 from ..functions.stopwords import DEFAULT
 
 _STOP = ", ".join("('" + w.replace("'", "''") + "')" for w in sorted(DEFAULT))
@@ -21,8 +21,8 @@ def _rung(name: str, before: str, expr: str, extra: str = "") -> str:
     return f"{name}_ AS (SELECT token, w, {_MASK.format(w='w')} AS m{', dropped' if extra == 'use' else ''} FROM {before}),\n{name} AS (SELECT token, {expr} AS w{', ' + extra if extra not in ('', 'use') else ''} FROM {name}_)"
 
 
-def _suffixes(table: dict[str, str], least: int) -> str:
-    pairs = sorted(((e, to) for to, es in table.items() for e in es.split()), key=lambda x: (-len(x[0]), x[0]))
+def _suffixes(table: str, least: int) -> str:
+    pairs = _endings(table)
     cases = " ".join(f"WHEN ends_with(w, '{e}') THEN CASE WHEN {_m(len(e))} > {least} THEN left(w, len(w) - {len(e)}) || '{to}' ELSE w END" for e, to in pairs)
     return f"CASE WHEN len(w) < 3 THEN w {cases} ELSE w END"
 
