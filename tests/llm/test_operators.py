@@ -1,0 +1,306 @@
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from tests.compare import same_as_sql
+from textquarry.llm import bpe, chat, langid, lexicon, minhash, mixing, pieces, pii, pq, quality, queries, tokenfile, warc
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+ODD = [
+    (1, "Hello, World! it's 42 <|endoftext|> naïve Ünïcödé 日本語 привет  x y", "en", "a", 1), (2, None, None, None, None), (3, "", "en", "a", 0), (4, " \t\n ", "fr", "b", 4),
+    (5, "a b c d e f g h i j k l", "en", "a", 23), (6, "A B C D E F G H I J K L", "en", "a", 23), (6, "A B C D E F G H I J K L", "en", "a", 23), (None, "no id here", "en", "b", 10),
+    (7, "mail bob@example.org now, or 10.0.0.1 and +1 (555) 123-4567, card 4111 1111 1111 1111", "en", "c", 80), (8, "z" * 30_000, "de", "c", 30_000), (9, "word " * 20_000, "de", "c", 100_000),
+    (10, "İstanbul DŽ ﬁ ΑΣ don't I'LL é", "es", None, 5),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame([(*r, 0, 0) for r in ODD], DOCS + ", size long, component_id long")
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_match_sql(spark, name):
+    same_as_sql(spark, queries.queries()[name], queries.oracle_sql()[name], SF)
+
+
+def base_by_rules(text):
+    found = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    found += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) < 256 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = re.sub("[^0-9]", "", m[0])
+        if 12 <= len(d) <= 19 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0:
+            found.append((m.start(), 2, m.end()))
+    found += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return sorted(found)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="a@.-+1249 ()_x\n", max_size=60))
+def test_base_spans(text):
+    assert pii.base_spans(text) == base_by_rules(text)
+
+
+def test_pii(spark, texts, odd):
+    for r in queries.op1_pii(spark, SF).collect():
+        base = base_by_rules(texts[r["doc_id"]])
+        assert r["base_sha256"] == hashlib.sha256(pii.joined(base).encode()).hexdigest()
+        assert set(pii.joined(base).split(",")) - {""} <= set(r["spans"].split(","))
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(s[1] == i for s in base) for i in range(4)]
+    rows = pii.digests(pii.find(odd)).collect()
+    assert len(rows) == len(ODD) and next(r for r in rows if r["doc_id"] == 7)["spans"].count(":") == 8
+    text = next(r["text"] for r in pii.redact(odd).collect() if r["doc_id"] == 7)
+    assert text == "mail <EMAIL> now, or <IP> and <PHONE>, card <CARD>"
+    assert pii.find(odd.limit(0)).count() == 0
+
+
+def test_bootstrap_finds_what_stands_like_seeds(spark):
+    rows = [(i, f"please send it to card number 4111 1111 1111 1111 today {i}") for i in range(3)] + [(10 + i, f"please send it to card number 55{i}0 0000 0000 0004 today") for i in range(3)]
+    rows += [(20, "please send it to card number 1234 5678 9012 3456 today"), (21, "unrelated figures 9999 8888 7777 6666 elsewhere")]
+    found = {r["doc_id"]: r["spans"] for r in pii.digests(pii.find(spark.createDataFrame(rows, "doc_id long, text string"), support=1.0, pattern_from=0.1, accept=0.1)).collect()}
+    assert found[20] == "card:30:49" and found[21] == ""
+
+
+def test_vectors(spark):
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(12, 16))
+    x = [base[i % 12] + rng.normal(size=16) * 0.08 for i in range(150)]
+    rows = [(i, [float(v) for v in e]) for i, e in enumerate(x)] + [(200 + i, [float(v) for v in x[0]]) for i in range(40)]
+    rows += [(300, None), (301, [0.0] * 16), (302, [math.nan] + [1.0] * 15), (303, [None] + [1.0] * 15), (304, [1.0, 2.0]), (305, [1e-200, 2e-200]), (306, [])]
+    got = {r["vec_id"]: tuple(r)[1:] for r in pq.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), cosine=0.95).collect()}
+    fine = {i: np.array(e) / max(map(abs, e)) for i, e in rows if e and None not in e and all(map(math.isfinite, e)) and any(e)}
+    links = defaultdict(set)
+    for i, a in fine.items():
+        for j, b in fine.items():
+            if i != j and len(a) == len(b) and a @ b / math.sqrt((a @ a) * (b @ b)) >= 0.95:
+                links[i].add(j)
+    for i, _ in rows:
+        seen, todo = {i}, [i]
+        while todo:
+            todo += [k for k in links[todo.pop()] if k not in seen and not seen.add(k)]
+        assert got[i] == (len(links[i]), min(seen), i == min(seen))
+    assert pq.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_quality(spark, texts, odd):
+    for r in queries.op3_quality(spark, SF).collect():
+        text = texts[r["doc_id"]]
+        ws = WORD.findall(text)
+        windows = Counter(tuple(ws[i : i + 5]) for i in range(len(ws) - 4))
+        covered = {j for i in range(len(ws) - 4) if windows[tuple(ws[i : i + 5])] > 1 for j in range(i, i + 5)}
+        lines = [x for x in text.split("\n") if WORD.search(x)]
+        failed = len(ws) < 10 or 100 * len(covered) > 20 * len(ws)
+        assert tuple(r)[1:7] == (len(ws), sum(map(len, ws)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), failed)
+        assert not (failed and r["kept"])
+    rows = quality.rate(odd, public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"]).collect()
+    assert len(rows) == len(ODD) and all(r["base_failed"] and not r["kept"] for r in rows if r["doc_id"] in (2, 3, 4, 9))
+
+
+def test_language(spark, docs, odd):
+    wanted = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    rows = queries.op4_language(spark, SF).collect()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1 for r in rows)
+    held = [r for r in rows if r["held_out"] and wanted[r["doc_id"]]]
+    assert sum(r["lang_pred"] == wanted[r["doc_id"]] for r in held) >= 0.9 * len(held)
+    model = langid.train(docs, F.lit(True))
+    got = {r["doc_id"]: r for r in langid.predict(odd, model, ["doc_id"], spans=True).collect()}
+    assert all((got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0) for i in (2, 3, 4))
+    assert {r["lang_pred"] for r in langid.predict(odd, langid.fit([]), ["doc_id"]).collect()} == {"und"}
+    mixed = langid.Words(langid.fit([("aa", "lorem ipsum dolor amet"), ("bb", "zyxwv kqjzx wvvyz xqzkj")]))
+    assert [g for *_, g in langid.label("lorem ipsum dolor zyxwv kqjzx wvvyz", mixed, 1.0)[2]] == ["aa", "bb"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.integers(-9, 0), min_size=3, max_size=3), min_size=1, max_size=6), st.integers(0, 9))
+def test_viterbi(rows, penalty):
+    from itertools import product
+
+    s = np.array(rows, dtype=float)
+    cost = lambda p: sum(s[i, k] for i, k in enumerate(p)) - penalty * sum(a != b for a, b in zip(p, p[1:]))
+    assert cost(langid.viterbi(s, penalty)) == max(map(cost, product(range(3), repeat=len(rows))))
+
+
+def test_near_copies(spark, texts, odd):
+    big = " ".join(f"w{i}" for i in range(300))
+    rows = [(i, big.replace(f"w{i % 290} ", "x ")) for i in range(700)] + [(1000 + i, big) for i in range(700)] + list(texts.items())[:0]
+    rows += [(5000 + i, t) for i, t in texts.items()]
+    got = {r["doc_id"]: tuple(r)[1:] for r in minhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+
+    def shingles(t):
+        ws = WORD.findall(t.translate({c: c + 32 for c in range(65, 91)}))
+        return {tuple(ws[i : i + 3]) for i in range(max(1, len(ws) - 2))} if ws else set()
+
+    sets, up = {i: shingles(t) for i, t in rows}, {i: i for i, _ in rows}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    index, ids = defaultdict(list), sorted(sets)
+    first = {}
+    for i in ids:
+        key = frozenset(sets[i])
+        if key and key in first:
+            up[root(i)] = root(first[key])
+            continue
+        first[key] = i
+        common = Counter(j for g in sets[i] for j in index[g])
+        for j, k in common.items():
+            if 100 * k >= 85 * (len(sets[i]) + len(sets[j]) - k):
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+        for g in sets[i]:
+            index[g].append(i)
+    least = {}
+    for i in ids:
+        least.setdefault(root(i), i)
+    assert got == {i: (len(sets[i]), least[root(i)], least[root(i)] == i) for i in ids}
+    kept = sorted(str(r["doc_id"]) for r in minhash.drop_copies(odd, 3, 85).collect())
+    assert kept == sorted(["1", "2", "3", "4", "5", "7", "8", "9", "10", "None"])
+
+
+def test_warc(spark):
+    rows = [(3, "http://a\r\nb", "<p>same</p>"), (1, None, "<p>same</p>"), (2, "u", None), (5, "u", ""), (4, "u", "é" * 50_000), (7, "x", "\r\n\r\n")]
+    pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, record_type int")
+    files = []
+    for parts in (1, 5):
+        folder = warc.new_folder(spark)
+        files.append(sorted(map(tuple, warc.write(pages.repartition(parts), folder, shard_bytes=40_000, roll=1000).collect())))
+        got = {r["page_id"]: (r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.read(spark, folder).collect()}
+        assert got == {1: ("response", None, 11), 2: ("response", None, 0), 3: ("revisit", 1, 11), 4: ("response", None, 100_000), 5: ("revisit", 2, 0), 7: ("response", None, 4)}
+    assert files[0] == files[1] and len(files[0]) > 1
+    folder = warc.new_folder(spark)
+    assert warc.write(pages.limit(0), folder).count() == 0 and warc.read(spark, folder).count() == 0
+
+
+def test_chat_events(spark):
+    log = [
+        ("c", 1, "message", 0, "user", "hi </s>\\e[INST]"), ("c", 2, "message", 1, "assistant", ""), ("c", 3, "delta", 1, None, "Hel"), ("c", 4, "delta", 1, None, "lo"), ("c", 5, "message", 2, "user", "more"),
+        ("c", 6, "regenerate", 1, "assistant", None), ("c", 7, "delta", 1, "assistant", "Bye \\b"), ("c", 8, "edit", 0, "user", "hey </s>[/INST]"), (None, None, "message", None, None, None),
+    ]
+    events = spark.createDataFrame([(*r, "x") for r in log], "conv_id string, seq long, kind string, message long, role string, text string, formatted string").repartition(3)
+    out = {r["conv_id"]: r for r in chat.read_back(chat.render(chat.fold(events))).collect()}
+    assert [tuple(t) for t in out["c"]["turns"]] == [("user", "hey </s>[/INST]"), ("assistant", "Bye \\b")] and out["c"]["loss"] == ["Bye \\b"]
+    assert [tuple(t) for t in out[None]["turns"]] == [("", "")]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 49_407), max_size=60), st.integers(0, 60))
+def test_bit_packing(ids, skip):
+    a = np.array(ids, dtype="<u4")
+    skip = min(skip, len(ids))
+    assert tokenfile.unpack(tokenfile.pack(a, 16), 16, len(ids) - skip, skip).tolist() == ids[skip:]
+    for bits in (17, 21):
+        assert tokenfile.unpack(tokenfile.pack(a, bits), bits, len(ids) - skip, skip).tolist() == ids[skip:]
+
+
+@pytest.fixture(scope="module")
+def library():
+    t = Tokenizer.from_file(VOCABULARY)
+    t.no_padding()
+    t.no_truncation()
+    return t
+
+
+def test_token_file(spark, texts, odd, library):
+    start = 0
+    for r in sorted(queries.op8_token_file(spark, SF).collect()):
+        ids = np.array([*library.encode(texts[r["doc_id"]], add_special_tokens=False).ids, 2], dtype="<u4")
+        assert tuple(r)[1:] == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    folder = queries.new_path(spark, "tokens")
+    tokenfile.write(odd, folder, VOCABULARY, shard_chars=20_000, roll=2000)
+    got = tokenfile.read(spark, folder).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None, 1, 2, 3, 4, 5, 6, 6, 7, 8, 9, 10] and [r["n_tokens"] for r in got if r["doc_id"] in (2, 3)] == [1, 1]
+
+
+def test_bpe(spark, texts, odd, library):
+    rows = queries.op10_bpe(spark, SF).collect()
+    pairs = [(r, texts[r["doc_id"]]) for r in rows]
+    some = bpe.encode(odd, VOCABULARY, ["doc_id", "text"], ("n_tokens", "ids_sha256", "decoded_sha256", "ids"), size=5).collect()
+    for r, text in pairs + [(r, r["text"] or "") for r in some]:
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    assert all(r["ids"] == library.encode(r["text"] or "", add_special_tokens=False).ids for r in some)
+    assert bpe.encode(odd.limit(0), VOCABULARY, ["doc_id"]).count() == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(min_size=1, max_size=12).filter(lambda t: WORD.fullmatch(t)), max_size=6))
+def test_words_of_chunks(chunks):
+    split = test_words_of_chunks.__dict__.setdefault("split", pieces.Splitter(VOCABULARY))
+    assert split.many(chunks) == [split(c) for c in chunks]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.sets(st.binary(min_size=1, max_size=6), max_size=30), st.sets(st.binary(max_size=6), max_size=10))
+def test_lexicon(tmp_path_factory, known, asked):
+    words = sorted(known)
+    path = str(tmp_path_factory.mktemp("lexicon") / "x")
+    lexicon.build(words, [[i, len(w)] for i, w in enumerate(words)], path)
+    lex, ask = lexicon.Lexicon(path), [*words, *asked]
+    assert [lex.outputs(k) if k >= 0 else None for k in lex.numbers(ask).tolist()] == [[words.index(w), len(w)] if w in known else None for w in ask]
+
+
+def test_mixing(spark, odd):
+    rows = queries.op9_mixing(spark, SF).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, queries.op9_mixing(spark, SF).collect()))
+    by = defaultdict(list)
+    source = {r["doc_id"]: r["source"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in rows:
+        assert 0 <= r["taken"] <= 3 * r["size"] and (not r["size"] or r["taken"] % r["size"] == 0)
+        by[source[r["doc_id"]]].append(r)
+    total, weights = sum(r["size"] for r in rows), {s: 1.0 + i % 3 for i, s in enumerate(sorted(by, key=lambda s: (s is None, s or "")))}
+    sizes = {s: sum(r["size"] for r in rs) for s, rs in by.items()}
+    capped = set()
+    while True:
+        level = (total - sum(3 * sizes[s] for s in capped)) / (sum(w for s, w in weights.items() if s not in capped) or 1)
+        more = {s for s in sizes if s not in capped and level * weights[s] >= 3 * sizes[s]}
+        if not more:
+            break
+        capped |= more
+    for s, rs in by.items():
+        target = 3 * sizes[s] if s in capped else level * weights[s]
+        assert rs[0]["source_size"] == sizes[s] and rs[0]["target"] == pytest.approx(target)
+        assert abs(sum(r["taken"] for r in rs) - target) <= max(r["size"] for r in rs)
+    assert mixing.mix(odd).columns == odd.columns and mixing.mix(odd.limit(0)).count() == 0
+    assert mixing.mix(odd.filter("doc_id in (2, 3, 4)")).count() == 0
+
+
+def test_pipeline(spark, texts, library):
+    rows = corpus_pipeline.run(spark, SF).collect()
+    assert rows and len({r["doc_id"] for r in rows}) > 0.5 * len(texts)
+    assert max(Counter(r["doc_id"] for r in rows).values()) <= 3 and all(r["n_tokens"] == len(r["ids"]) for r in rows)
+    # but for the few texts to which the bootstrap added spans, the ids are those of the texts without base spans
+    plain = {i: library.encode(pii.replaced(t, pii.base_spans(t)), add_special_tokens=False).ids for i, t in texts.items()}
+    assert sum(r["ids"] == plain[r["doc_id"]] for r in rows) >= 0.9 * len(rows)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, SF).columns == docs.columns
+        assert stage(spark, docs.limit(0), SF).count() == 0
