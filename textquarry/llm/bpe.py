@@ -1,7 +1,7 @@
 """BPE encoding and decoding with a transducer lexicon of the corpus's frequent words.
 
-1. All words of all texts are counted; the `lexicon_size` most frequent (ties by the word) are the lexicon, a bounded
-   and documented size. Rarer words are never left out: they are merged where they occur.
+1. All words of all texts are counted; the most frequent are the lexicon, `size` at most, a documented bound (words of
+   about the same count are in it together or not at all). Rarer words are never left out: they are merged where they occur.
 2. The driver merges the lexicon's words once, compiles them with their ids into a minimal acyclic automaton, and
    hands the file to the executors, which memory-map it; an executor that joins later fetches it again.
 3. Texts are encoded chunk by chunk (see pieces): a new word's ids come from the automaton, or else by the merges.
@@ -26,6 +26,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
 from .lexicon import Lexicon, build
 from .pieces import Chunks, Splitter, in_groups, words
 
@@ -168,8 +169,8 @@ def count_words(texts: DataFrame, tokenizer: str) -> DataFrame:
 
         def out():
             found: Counter = Counter()
-            for chunk, n in chunks.items():
-                for w in split(chunk):
+            for ws, n in zip(split.many(list(chunks)), chunks.values(), strict=True):
+                for w in ws:
                     found[w] += n
             chunks.clear()
             return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["word", "n"])
@@ -190,8 +191,16 @@ def compile_lexicon(docs: DataFrame, tokenizer: str, size: int = LEXICON_SIZE) -
     """The name of a file that SparkFiles.get finds on every executor."""
     merges = Merges(tokenizer)
     # a word longer than this is not worth a path of its own, however frequent: it is merged where it occurs
-    frequent = count_words(docs, tokenizer).filter(F.length("word") <= 64).orderBy(F.desc("n"), "word").limit(size)
-    by_bytes = sorted((r[0].encode(), r[0]) for r in frequent.select("word").collect())
+    counts = written(count_words(docs, tokenizer).filter(F.length("word") <= 64), "word-counts")
+    # a histogram of at most some thousand rows tells from which count on the words are `size` at most; only those are collected
+    cell = F.floor(F.log("n") * 64).cast("int")
+    least, total = 0, 0
+    for at, n in sorted(counts.groupBy(cell.alias("cell")).count().collect(), reverse=True):
+        total += n
+        if total > size:
+            least = at + 1
+            break
+    by_bytes = sorted((r[0].encode(), r[0]) for r in counts.filter(cell >= least).select("word").collect())
     folder = tempfile.mkdtemp(prefix="lexicon-")
     path = f"{folder}/new"
     build([b for b, _ in by_bytes], merges.many([w for _, w in by_bytes]), path)
@@ -227,7 +236,7 @@ def encoder(tokenizer: str, lexicon: str) -> Chunks:
 
 #: What `encode` can add to a row: name, type, and how it is made of the joined ids and tokens.
 OUTPUTS = {
-    "ids": (pa.list_(pa.int32()), lambda ids, tokens: [int(i) for i in ids.split()]),
+    "ids": (pa.list_(pa.int32()), lambda ids, tokens: np.array(ids.split() or [0]).astype(np.int32)[: None if ids else 0]),
     "decoded": (pa.string(), lambda ids, tokens: tokens.decode()),
     "n_tokens": (pa.int64(), lambda ids, tokens: ids.count(b" ") + 1 if ids else 0),
     "ids_sha256": (pa.string(), lambda ids, tokens: hashlib.sha256(ids).hexdigest()),
@@ -245,14 +254,17 @@ def encode(docs: DataFrame, tokenizer: str, keep: list[str], outputs: tuple[str,
     def work(batches):
         chunks = encoder(tokenizer, lexicon)
         for batch in batches:
-            made = {o: [] for o in outputs}
+            at = 0
             for group in in_groups(batch.column("text").to_pylist()):
+                made = {o: [] for o in outputs}
                 for values in chunks.values(group):
                     ids, tokens = b" ".join([v[0] for v in values if v[0]]), b" ".join([v[1] for v in values if v[0]])
                     for o in outputs:
                         made[o].append(OUTPUTS[o][1](ids, tokens))
-            kept = [batch.column(f"k{i}") for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(made[o], OUTPUTS[o][0]) for o in outputs)], [*(f"k{i}" for i in range(len(keep))), *(f"o{i}" for i in range(len(outputs)))])
+                # a batch for each group: what is held at once does not grow with the rows of a batch
+                kept = [batch.column(f"k{i}").slice(at, len(group)) for i in range(len(keep))]
+                at += len(group)
+                yield pa.RecordBatch.from_arrays([*kept, *(pa.array(made[o], OUTPUTS[o][0]) for o in outputs)], [*(f"k{i}" for i in range(len(keep))), *(f"o{i}" for i in range(len(outputs)))])
 
     schema = ", ".join([*(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)), *(f"o{i} {_SQL[o]}" for i, o in enumerate(outputs))])
     return rows.mapInArrow(work, schema).toDF(*keep, *outputs)

@@ -9,6 +9,7 @@ bounded number.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -24,7 +25,8 @@ from .common import words
 _LATIN = "À-ÖØ-öø-įı-ſ"
 _PLAIN = re.compile(f"[\x00-\x7f{_LATIN}]*")
 _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^a-z0-9{_LATIN}]+")
-_LETTERS = re.compile("[a-z]*")
+#: The same over chunks joined by line feeds, which no chunk has.
+_SPLIT_LINES = re.compile(f"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^a-z0-9{_LATIN}\n]+")
 
 
 def byte_letters() -> list[str]:
@@ -39,7 +41,9 @@ _OF_BYTE = byte_letters()
 
 def spell(word: str) -> str:
     """A word in byte letters."""
-    return word if word.isascii() and word.isalnum() else "".join(map(_OF_BYTE.__getitem__, word.encode()))
+    if word.isascii() and word.isprintable():  # a word has no blank
+        return word
+    return "".join(map(_OF_BYTE.__getitem__, word.encode()))
 
 
 class Splitter:
@@ -59,6 +63,22 @@ class Splitter:
             return [w for part in self.at_special.split(chunk) if part for w in ([part] if part in self.special else self._plain(part))]
         return self._plain(chunk)
 
+    def many(self, chunks: list[str]) -> list[list[str]]:
+        """The words of each chunk; those of ASCII and common Latin letters are split as one string."""
+        rare = lambda c: not _PLAIN.fullmatch(c) or any(m in c for m in self.marks)
+        out = [self(c) if rare(c) else None for c in chunks]
+        text = "\n".join(c for c, ws in zip(chunks, out, strict=True) if ws is None).lower()
+        found, ws = [], []
+        for w in _SPLIT_LINES.findall(text):
+            if w == "\n":
+                found.append(ws)
+                ws = []
+            else:
+                ws.append(w if w.isascii() and w.isprintable() else spell(w))
+        found.append(ws)
+        rest = iter(found)
+        return [next(rest) if ws is None else ws for ws in out]
+
     def _plain(self, chunk: str) -> list[str]:
         if chunk.isascii() and chunk.isalpha():
             return [chunk.lower()]
@@ -99,25 +119,28 @@ class Chunks:
         """The values of each text's chunks. Texts that come together are looked up together: new words go to fill() as one list."""
         self.chunks.age()
         self.words.age()
+        gc.disable()  # many small lists, none of them in a cycle
+        try:
+            return self._values(texts)
+        finally:
+            gc.enable()
+
+    def _values(self, texts: list[str]) -> list[list]:
         split = [words(t) for t in texts]
-        get, again = self.chunks.get, self.chunks.again
-        out = [list(map(get, ws)) for ws in split]
-        new: dict[str, list[str]] = {}
-        for ws, vs in zip(split, out, strict=True):
-            if None in vs:
-                for w, v in zip(ws, vs, strict=True):
-                    if v is None and w not in new and again(w) is None:
-                        new[w] = self.splitter(w)
-        known = self.words
-        fresh = list({w: None for ws in new.values() for w in ws if w not in known and known.again(w) is None})
-        if fresh:
-            known.update(zip(fresh, self.fill(fresh), strict=True))
-        for chunk, ws in new.items():
-            self.chunks[chunk] = known[ws[0]] if len(ws) == 1 else self.join([known[w] for w in ws])
-        return [list(map(get, ws)) if None in vs else vs for ws, vs in zip(split, out, strict=True)]
-
-
-def in_groups(texts: list[str], chars: int = 2_000_000):
+        chunks, known = self.chunks, self.words
+        new = [c for c in set().union(*split) if c not in chunks and chunks.again(c) is None]
+        if new:
+            of_chunk = self.splitter.many(new)
+            fresh = [w for w in set().union(*of_chunk) if w not in known and known.again(w) is None]
+            if fresh:
+                known.update(zip(fresh, self.fill(fresh), strict=True))
+            for chunk, ws in zip(new, of_chunk, strict=True):
+                chunks[chunk] = known[ws[0]] if len(ws) == 1 else self.join([known[w] for w in ws])
+        get = chunks.__getitem__
+        return [list(map(get, ws)) for ws in split]
+
+
+def in_groups(texts: list[str], chars: int = 1_000_000):
     """Slices of texts of about so many characters."""
     group, size = [], 0
     for t in texts:

@@ -134,7 +134,8 @@ def library_chunks(path: str) -> Chunks:
         letter = {c: b for b, c in enumerate(split_letters())}
 
         def fill(ws: list[str]) -> list[bytes]:
-            plain = [w if w in split.special else bytes(map(letter.__getitem__, w)).decode() for w in ws]
+            # ASCII letters stand for themselves
+            plain = [w if w.isascii() or w in split.special else bytes(map(letter.__getitem__, w)).decode() for w in ws]
             return [np.array(e.ids, dtype="<u4").tobytes() for e in split.tokenizer.encode_batch_fast(plain, add_special_tokens=False)]
 
         _STATE[path] = Chunks(split, fill, b"".join)
