@@ -69,7 +69,7 @@ class Words:
 
     FAR = -60.0  # of a language that is no candidate
 
-    def __init__(self, model: dict, most: int = 200_000):
+    def __init__(self, model: dict, most: int = 100_000):
         self.langs, self.scripts, self.most = model["langs"], model["scripts"], most
         # a row per known n-gram in the order of their keys, and the last one for all others
         keys = np.array([gram_key(g) for g in model["score"]], dtype=np.uint64)

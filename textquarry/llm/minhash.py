@@ -48,7 +48,7 @@ def word_hashes(ws: list[str]) -> np.ndarray:
     """64-bit hashes of words, A-Z as a-z."""
     found = list(map(_WORDS.get, ws))
     if None in found:
-        if len(_WORDS) > 300_000:
+        if len(_WORDS) > 100_000:
             _WORDS.clear()
         for w in ws:
             if w not in _WORDS:

@@ -111,7 +111,7 @@ class Recent(dict):
 class Chunks:
     """A cache from chunks to values. fill(words) gives a value for each new word; join makes a chunk's value of its words'."""
 
-    def __init__(self, splitter: Splitter, fill: Callable[[list[str]], list], join: Callable[[list], object], most: int = 200_000):
+    def __init__(self, splitter: Splitter, fill: Callable[[list[str]], list], join: Callable[[list], object], most: int = 80_000):
         self.splitter, self.fill, self.join = splitter, fill, join
         self.chunks, self.words = Recent(most), Recent(most)
 
