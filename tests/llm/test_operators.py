@@ -85,6 +85,27 @@ def test_bootstrap_finds_what_stands_like_seeds(spark):
     assert found[20] == "card:30:49" and found[21] == ""
 
 
+def card(i, valid):
+    """16 digits whose check digit holds, or is one off."""
+    body = f"4{i:014d}"
+    last = next(d for d in "0123456789" if pii.luhn(body + d))
+    return body + (last if valid else str((int(last) + 1) % 10))
+
+
+@pytest.mark.parametrize("unseen", [10, 40])
+def test_bootstrap_with_more_unseen_than_known(spark, unseen):
+    rows = [(i, f"please send it to card number {card(i, True)} today") for i in range(20)]
+    rows += [(100 + i, f"please send it to card number {card(i, False)} today") for i in range(unseen)]
+    # a place where ordinary words stand, too, tells nothing; the third context is only known after a round
+    rows += [(200 + i, f"we saw the {card(50 + i, True)} of it") for i in range(4)] + [(300, f"we saw the {card(60, False)} of it")]
+    rows += [(400 + i, f"we saw the {w} of it") for i, w in enumerate("end start rest sum list top name".split())]
+    rows += [(500 + i, f"billed via account {card(i, False)} yesterday") for i in range(4)] + [(600, f"billed via account {card(70, False)} yesterday")]
+    rows += [(700 + i, f"moved over ledger {card(70 if i == 0 else 80 + i, False)} overnight") for i in range(2)]
+    found = {r["doc_id"]: r["spans"] for r in pii.digests(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert all(found[100 + i] == "card:30:46" for i in range(unseen))
+    assert found[300] == "" and found[600] == "card:19:35" and found[700] == "card:18:34" and found[701] == ""
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(12, 16))

@@ -4,12 +4,14 @@ Every text is scanned for base spans (email, ip, card, phone) by rules; they are
 same scan finds looser look-alikes (a card number that fails its check digit, a phone number without its plus, an
 address with a written-out "at", an IPv6 address) and, for seeds and look-alikes both, the lexical patterns they stand
 in: the two words before, what is joined to the front, the words on either side. Spark then scores the graph of
-patterns and instances in rounds: a pattern is as good as the share of its instances that are known, given `support`
-known ones; an instance is as good as its patterns taken together; what passes becomes known for the next round.
-Look-alikes that end above `accept` are added to the spans.
+patterns and instances in rounds, until one accepts nothing new. A pattern of `support` known instances is as good as
+their share of what speaks for or against it: known instances of its kind, those of other kinds, and the different
+ordinary words that stand in its place (`against`). Unlabelled look-alikes speak neither way, however many they are. An
+instance is as good as its patterns taken together; what reaches `accept` becomes known and is added to the spans.
 
-The scan leaves one small row per document, so texts are neither shuffled nor read again, and the graph holds a row per
-pattern and instance, counted before it is shuffled.
+The scan leaves one small row per document and the graph holds a row per pattern and instance, counted before it is
+shuffled. Texts are read again, and not shuffled, in each round that brings patterns whose ordinary words are not yet
+counted; of them only the patterns with `support` that some look-alike stands in are sent to the tasks.
 
 A null or empty text has no spans. Rows are told apart by doc_id and text, so repeated rows get equal results and null
 ids work. Spans are ordered by start, then kind, then end. An empty table has an empty result; extra columns are ignored.
@@ -28,7 +30,9 @@ from pyspark.sql import functions as F
 from .common import written
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS, SUPPORT, PATTERN_FROM, ACCEPT = 3, 3.0, 0.6, 0.8
+SUPPORT, PATTERN_FROM, ACCEPT = 3.0, 0.6, 0.8
+#: Fewer digits than this are no identifier: what stands so in a pattern's place speaks against it.
+LEAST_DIGITS = 7
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -131,7 +135,7 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 _SPAN = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
-_EDGE = pa.struct([("pattern", pa.int64()), ("value", pa.int64()), ("kind", pa.int32()), ("seed", pa.bool_())])
+_EDGE = pa.struct([("pattern", pa.string()), ("value", pa.int64()), ("kind", pa.int32()), ("seed", pa.bool_())])
 _LOOK = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("value", pa.int64())])
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
 
@@ -151,7 +155,7 @@ def scan(docs: DataFrame) -> DataFrame:
                         value = _hash(f"{KINDS[k]} {text[a:b].lower()}")
                         if not seed:
                             noted.append({"start": a, "kind": k, "end": b, "value": value})
-                        edges += [{"pattern": _hash(p), "value": value, "kind": k, "seed": seed} for p in patterns(text, a, b)]
+                        edges += [{"pattern": p, "value": value, "kind": k, "seed": seed} for p in patterns(text, a, b)]
                 out["text_hash"].append(_hash(text))
                 out["base"].append([{"start": a, "kind": k, "end": b} for a, k, b in base])
                 out["sha"].append(hashlib.sha256(joined(base).encode()).digest())
@@ -162,30 +166,98 @@ def scan(docs: DataFrame) -> DataFrame:
                 ["doc_id", "text_hash", "base", "base_sha", "looks", "edges"],
             )
 
-    schema = f"doc_id long, text_hash long, base {_SPANS}, base_sha binary, looks array<struct<start:int,kind:int,end:int,value:bigint>>, edges array<struct<pattern:bigint,value:bigint,kind:int,seed:boolean>>"
+    schema = f"doc_id long, text_hash long, base {_SPANS}, base_sha binary, looks array<struct<start:int,kind:int,end:int,value:bigint>>, edges array<struct<pattern:string,value:bigint,kind:int,seed:boolean>>"
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(work, schema)
 
 
-def bootstrap(edges: DataFrame, rounds: int = ROUNDS, support: float = SUPPORT, pattern_from: float = PATTERN_FROM, accept: float = ACCEPT) -> DataFrame:
-    """(value): the look-alikes that are accepted, from edges (pattern, value, kind, seed)."""
+def ordinary(r: list[str], i: int) -> bool:
+    """Whether no identifier can begin with word i of the lower-case words r: too few digits, no address."""
+    w = r[i]
+    if "@" in w or "::" in w or "(at)" in w or "[at]" in w or w.count(":") > 3 or (i + 1 < len(r) and r[i + 1] in ("at", "(at)", "[at]", "@")):
+        return False
+    digits = 0
+    for x in r[i : i + 8]:
+        n = sum(c in "0123456789" for c in x)
+        if not n:
+            break
+        digits += n
+    return digits < LEAST_DIGITS and len(w.split(".")) < 4
+
+
+def against(docs: DataFrame, wanted: list[str]) -> DataFrame:
+    """(pattern, against): how many different ordinary words stand where these patterns have their instances."""
+    sent = docs.sparkSession.sparkContext.broadcast(frozenset(wanted))
+
+    def work(batches):
+        asked = sent.value
+        # the word before the place, and what is joined to its front
+        lefts = {p[2:].split(" ")[1 if p[0] == "2" else 0] for p in asked if p[0] != "j"}
+        fronts = sorted({p[2:] for p in asked if p[0] == "j"}, key=len, reverse=True)
+        front = re.compile("|".join(map(re.escape, fronts))) if fronts else None
+        seen = set()
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                low = (text or "").lower()
+                r = low.split()
+                t = ["x", "x", *(w[-24:] for w in _NUMBER.sub("0", low).split()), ""]
+                if front:
+                    for i, w in enumerate(r):
+                        m = front.match(t[i + 2])
+                        if m and len(w) > m.end() and ordinary([w[m.end() :], *r[i + 1 : i + 8]], 0):
+                            seen |= {(f"j:{f}", w) for f in fronts if t[i + 2].startswith(f) and len(t[i + 2]) > len(f)}
+                if lefts.isdisjoint(t):
+                    continue
+                for i, w in enumerate(r):
+                    near = t[i + 1]
+                    if near in lefts and ordinary(r, i):
+                        seen |= {(p, w) for p in (f"2:{t[i]} {near}", f"s:{near} _ {t[i + 3]}", f"1:{near}") if p in asked}
+            if len(seen) > 100_000:
+                yield rows_of(seen)
+                seen = set()
+        yield rows_of(seen)
+
+    def rows_of(seen):
+        rows = list(seen)
+        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.string()), pa.array([_hash(w) for _, w in rows], pa.int64())], ["pattern", "word"])
+
+    return docs.select("text").mapInArrow(work, "pattern string, word long").distinct().groupBy("pattern").agg(F.count("*").alias("against"))
+
+
+def bootstrap(edges: DataFrame, docs: DataFrame, support: float = SUPPORT, pattern_from: float = PATTERN_FROM, accept: float = ACCEPT) -> DataFrame:
+    """(value): the look-alikes that are accepted, from edges (pattern, value, kind, seed) of the texts of docs."""
     edges = written(edges.groupBy("pattern", "value", "kind").agg(F.max("seed").alias("seed")), "pii-edges")
-    known = edges.filter("seed").select("value", F.lit(1.0).alias("known")).distinct()
+    seeds = edges.filter("seed").select("value", F.lit(1.0).alias("known")).distinct()
     looks = edges.filter(~F.col("seed"))
-    for _ in range(rounds):
-        # of each pattern: what is known per kind, of all its instances whatever their kind
-        by_kind = edges.join(known, "value", "left").groupBy("pattern", "kind").agg(F.sum("known").alias("known"), F.count("*").alias("n"))
-        total = by_kind.groupBy("pattern").agg(F.sum("n").alias("total"), F.max_by("kind", F.struct(F.coalesce("known", F.lit(0.0)), -F.col("kind"))).alias("kind"), F.max("known").alias("known"))
-        good = total.filter(F.col("known") >= support).select("pattern", "kind", (F.col("known") / (F.col("total") + 1)).alias("score")).filter(F.col("score") >= pattern_from)
-        found = looks.join(good, ["pattern", "kind"]).groupBy("value").agg((1 - F.exp(F.sum(F.log(1 - F.col("score"))))).alias("known"))
-        found = written(found.filter(F.col("known") >= accept), "pii-found")
-        known = edges.filter("seed").select("value", F.lit(1.0).alias("known")).distinct().unionByName(found)
-    return found.select("value").distinct()
+    asked = looks.select("pattern").distinct()
+    found = written(seeds.limit(0), "pii-found")
+    counted, counts = set(), None
+    while True:
+        known = seeds.unionByName(found)
+        by_kind = edges.join(asked, "pattern", "left_semi").join(known, "value").groupBy("pattern", "kind").agg(F.sum("known").alias("known"))
+        # of each pattern: its foremost kind, and what is known of the others
+        best = by_kind.groupBy("pattern").agg(F.sum("known").alias("all"), F.max_by("kind", F.struct("known", -F.col("kind"))).alias("kind"), F.max("known").alias("known"))
+        best = best.filter((F.col("known") >= support) & (F.col("known") / (F.col("all") + 1) >= pattern_from))
+        best = written(best, "pii-patterns")
+        new = [r["pattern"] for r in best.select("pattern").toLocalIterator() if r["pattern"] not in counted]
+        if new:
+            more = written(against(docs, new), "pii-against")
+            counts = more if counts is None else counts.unionByName(more)
+            counted.update(new)
+        if counts is None:
+            break
+        good = best.join(counts, "pattern", "left").select("pattern", "kind", (F.col("known") / (F.col("all") + F.coalesce("against", F.lit(0)) + 1)).alias("score")).filter(F.col("score") >= pattern_from)
+        fresh = looks.join(good, ["pattern", "kind"]).groupBy("value").agg((1 - F.exp(F.sum(F.log(1 - F.col("score"))))).alias("known"))
+        fresh = written(fresh.filter(F.col("known") >= accept).join(known, "value", "left_anti"), "pii-found")
+        if not fresh.count():
+            break
+        found = written(found.unionByName(fresh), "pii-found")
+    return found.select("value")
 
 
 def find(docs: DataFrame, **how) -> DataFrame:
     """(doc_id, text_hash, base, base_sha, spans): spans are the base ones and those that the bootstrap adds."""
     scanned = written(scan(docs), "pii-scan")
-    accepted = bootstrap(scanned.select(F.explode("edges").alias("e")).select("e.*"), **how)
+    accepted = bootstrap(scanned.select(F.explode("edges").alias("e")).select("e.*"), docs, **how)
     looks = scanned.select("doc_id", "text_hash", F.explode("looks").alias("l"))
     more = looks.join(accepted, looks["l.value"] == accepted["value"], "left_semi").groupBy("doc_id", "text_hash")
     more = written(more.agg(F.sort_array(F.collect_set(F.struct("l.start", "l.kind", "l.end"))).alias("more")).withColumnsRenamed({"doc_id": "_d", "text_hash": "_h"}), "pii-more")
@@ -200,7 +272,7 @@ def redact(docs: DataFrame, **how) -> DataFrame:
     Base spans are found again where the text is; only the few rows that the bootstrap adds to are joined.
     """
     scanned = written(scan(docs), "pii-scan")
-    accepted = bootstrap(scanned.select(F.explode("edges").alias("e")).select("e.*"), **how)
+    accepted = bootstrap(scanned.select(F.explode("edges").alias("e")).select("e.*"), docs, **how)
     looks = scanned.select("doc_id", "text_hash", F.explode("looks").alias("l"))
     more = looks.join(accepted, looks["l.value"] == accepted["value"], "left_semi").groupBy("doc_id", "text_hash")
     more = written(more.agg(F.collect_set(F.struct("l.start", "l.kind", "l.end")).alias("_more")).withColumnsRenamed({"doc_id": "_d", "text_hash": "_h"}), "pii-more")
