@@ -106,6 +106,18 @@ def test_bootstrap_with_more_unseen_than_known(spark, unseen):
     assert found[300] == "" and found[600] == "card:19:35" and found[700] == "card:18:34" and found[701] == ""
 
 
+def test_bootstrap_finds_other_shapes_in_the_place_of_seeds(spark):
+    rows = [(i, f"call me on phone +1 555 010 {1000 + i} today") for i in range(20)] + [(100 + i, f"call me on phone 555{1234567 + i} today") for i in range(10)]
+    rows += [(200 + i, f"you reach user{'abcdefgh'[i]}@example.org by mail") for i in range(8)] + [(300, "you reach bob AT example DOT com by mail")]
+    rows += [(400 + i, f"the host address 10.0.0.{i} answers") for i in range(8)] + [(500, "the host address fe80::1 answers")]
+    rows += [(600, "call me on phone 123456789012 today"), (601, "call me on phone 5551234567 5559876543 today"), (602, "part 5557654321 is gone, look at example dot com, a::b")]
+    rows += [(610 + i, f"call me on phone {w} today") for i, w in enumerate(("please", "12"))]
+    found = {r["doc_id"]: r["spans"] for r in pii.digests(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert all(found[100 + i] == "phone:17:27" for i in range(10))
+    assert found[300] == "email:10:32" and found[500] == "ip:17:24"
+    assert found[600] == "phone:17:29" and found[601].startswith("phone:17:27") and found[602] == found[610] == found[611] == ""
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(12, 16))

@@ -1,9 +1,10 @@
 """Personal data by bootstrapped contextual extraction.
 
 Every text is scanned for base spans (email, ip, card, phone) by rules; they are the seeds and are always reported. The
-same scan finds looser look-alikes (a card number that fails its check digit, a phone number without its plus, an
-address with a written-out "at", an IPv6 address) and, for seeds and look-alikes both, the lexical patterns they stand
-in: the two words before, what is joined to the front, the words on either side. Spark then scores the graph of
+same scan takes whatever may stand in the place of a pattern as a look-alike (any run of LEAST_DIGITS digits or more,
+however separated; an address with its "at" or "dot" written out; groups of hexadecimal digits with colons), once for
+each kind that its digits allow, so that the pattern decides on the kind, and, for seeds and look-alikes both, the
+lexical patterns they stand in: the two words before, what is joined to the front, the words on either side. Spark then scores the graph of
 patterns and instances in rounds, until one accepts nothing new. A pattern of `support` known instances is as good as
 their share of what speaks for or against it: known instances of its kind, those of other kinds, and the different
 ordinary words that stand in its place (`against`). Unlabelled look-alikes speak neither way, however many they are. An
@@ -13,6 +14,10 @@ The scan leaves one small row per document and the graph holds a row per pattern
 shuffled. Texts are read again, and not shuffled, in each round that brings patterns whose ordinary words are not yet
 counted; of them only the patterns with `support` that some look-alike stands in are sent to the tasks.
 
+A run of more than 19 digits is several numbers: every few neighbouring words of it are a look-alike. What holds too
+few digits for its kind (card 12 to 19, phone LEAST_DIGITS to 15), is joined to letters or digits on
+either side, or spells digits as words is never a look-alike. Of accepted look-alikes that overlap, the best stays.
+
 A null or empty text has no spans. Rows are told apart by doc_id and text, so repeated rows get equal results and null
 ids work. Spans are ordered by start, then kind, then end. An empty table has an empty result; extra columns are ignored.
 """
@@ -21,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 import xxhash
@@ -41,13 +47,13 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
-#: Look-alikes: (kind, what must be in the text, pattern).
-_LOOSE = (
-    (0, "at", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]{1,63}+){1,8}")),
-    (1, ":", re.compile(r"(?<![\w:])[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{0,4}){4,7}(?![\w:])")),
-    (2, "", re.compile(r"(?<![\w+.-])[0-9]{3,6}(?:[ ./-]?[0-9]{2,6}){2,5}(?![\w.-])")),
-    (3, "", re.compile(r"(?<![\w+.-])\(?[0-9]{2,4}\)?[ ./-][0-9]{2,4}[ ./-][0-9]{2,5}(?:[ ./-][0-9]{1,4})?(?![\w-])")),
-)
+#: Look-alikes. A run of digits with up to three signs or spaces between two of them, or a written-out dot.
+_RUN = re.compile(r"(?<![A-Za-z0-9])(?:\+ ?)?\(?[0-9](?:(?:(?:[^\S\r\n]|[()./:_+*#\u2010-\u2015-]){0,3}|\s?[(\[]?[dD][oO][tT][)\]]?\s?)[0-9])++(?![A-Za-z0-9])")
+_HEX = re.compile(r"(?<![\w:.])(?=[0-9a-fA-F:]*:[0-9a-fA-F]*:)[0-9a-fA-F:]{3,39}+(?:(?<=:)[0-9]{1,3}(?:\.[0-9]{1,3}){3})?(?![\w:])")
+_AT = re.compile(r"(?<=[A-Za-z0-9._%+-])(?:\s?(?:@|[(\[{<]\s?(?:[aA][tT]|@)\s?[)\]}>])\s?|\s[aA][tT]\s)(?=[A-Za-z0-9-])")
+_DOT = r"(?:\.|\s?[(\[{<]\s?(?:[dD][oO][tT]|\.)\s?[)\]}>]\s?|\s[dD][oO][tT]\s)"
+_BEHIND = re.compile(rf"[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)*+")
+_AHEAD = re.compile(rf"[A-Za-z0-9._%+-]++(?:(?:\s?[(\[{{<][dD][oO][tT][)\]}}>]\s?|\s[dD][oO][tT]\s)[A-Za-z0-9._%+-]++)*+$")
 _BEFORE = re.compile(r"(\S*)\s+(\S*)\s+(\S*)$")
 _AFTER = re.compile(r"\S*\s*(\S*)")
 _NUMBER = re.compile("[0-9]+")
@@ -93,25 +99,75 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def loose_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Look-alikes that overlap neither a base span nor an earlier look-alike."""
-    found: list[tuple[int, int, int]] = []
-    digits = bool(_DIGIT.search(text))
-    for kind, needs, pattern in _LOOSE:
-        if needs and needs not in text or not digits and kind > 1 or kind == 0 and "(at)" not in text and "[at]" not in text:
+def spelled(text: str) -> list[tuple[int, int]]:
+    """Addresses with "at" or "dot" written out, or without a dot, found from their "at"."""
+    found, end = [], 0
+    for m in _AT.finditer(text):
+        behind = _BEHIND.match(text, m.end())
+        low = max(end, m.start() - 80)
+        # not from within a word
+        while low > end and not text[low - 1].isspace():
+            low -= 1
+        start = next((low + k.start() for k in _AHEAD.finditer(text[low : m.start()])), None)
+        if start is None or m[0].strip().lower() == "at" and not re.search(_DOT, behind[0]):
             continue
-        for m in pattern.finditer(text):
-            n = sum(c in "0123456789" for c in m[0])
-            if kind == 1 or kind == 0 or (kind == 2 and 12 <= n <= 19) or (kind == 3 and 7 <= n <= 15):
-                found.append((m.start(), kind, m.end()))
+        end = behind.end()
+        found.append((start, end))
+    return found
+
+
+def kinds_of(run: str) -> list[int]:
+    """The kinds that a run of digits may be of."""
+    n = sum(c in "0123456789" for c in run)
+    groups = re.findall("[0-9]+", run)
+    ip = len(groups) == 4 and all(len(g) < 4 and int(g) < 256 for g in groups)
+    return [1] * ip + [2] * (12 <= n <= 19) + [3] * (LEAST_DIGITS <= n <= 15)
+
+
+def runs(text: str, start: int, end: int, most: int = 19) -> list[tuple[int, int]]:
+    """A run of digits; one of more than `most` is several numbers: all of its neighbouring words of `most` at most."""
+    if sum(c in "0123456789" for c in text[start:end]) <= most:
+        return [(start, end)]
+    ws = [(m.start(), m.end(), sum(c in "0123456789" for c in m[0])) for m in re.compile(r"\S+").finditer(text, start, end)]
+    out = []
+    for i, (a, _, _) in enumerate(ws):
+        n = 0
+        for j in range(i, len(ws)):
+            _, b, k = ws[j]
+            n += k
+            if n > most or b - a > 80:
+                break
+            if n >= LEAST_DIGITS and k:
+                out.append((a, b))
+    return out
+
+
+def loose_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Look-alikes that do not overlap base spans, sorted; one of digits once for each kind that it may be of."""
+    found = [(a, 0, b) for a, b in spelled(text)] if "@" in text or _AT.search(text) else []
+    if ":" in text:
+        found += [(m.start(), 1, m.end()) for m in _HEX.finditer(text) if m[0].count(":") > 1 and re.search("[0-9a-fA-F]", m[0]) and (m[0].count(":") > 3 or "::" in m[0])]
+    if _DIGIT.search(text):
+        edges = sorted((a, b) for a, _, b in base)
+        for m in _RUN.finditer(text):
+            # a run beside a base span is cut there
+            a, parts = m.start(), []
+            for x, y in edges[bisect_left(edges, (a - 200, 0)) :] if edges else []:
+                if x >= m.end():
+                    break
+                if y > a:
+                    parts.append((a, x))
+                    a = y
+            for a, b in [*parts, (a, m.end())]:
+                if n := _RUN.search(text, a, b):
+                    found += [(x, k, y) for x, y in runs(text, n.start(), n.end()) for k in kinds_of(text[x:y])]
     out, taken = [], sorted((a, b) for a, _, b in base)
-    i, last = 0, -1
+    i = 0
     for a, k, b in sorted(found):
         while i < len(taken) and taken[i][1] <= a:
             i += 1
-        if a >= last and not (i < len(taken) and taken[i][0] < b):
+        if not (i < len(taken) and taken[i][0] < b):
             out.append((a, k, b))
-            last = b
     return out
 
 
@@ -170,10 +226,13 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(work, schema)
 
 
+_SPELLED = frozenset(f"{a}{w}{b}" for w in ("at", "dot", "@") for a, b in ("  ", "()", "[]", "{}", "<>") for a, b in [(a.strip(), b.strip())])
+
+
 def ordinary(r: list[str], i: int) -> bool:
     """Whether no identifier can begin with word i of the lower-case words r: too few digits, no address."""
     w = r[i]
-    if "@" in w or "::" in w or "(at)" in w or "[at]" in w or w.count(":") > 3 or (i + 1 < len(r) and r[i + 1] in ("at", "(at)", "[at]", "@")):
+    if "@" in w or "::" in w or "(at)" in w or "[at]" in w or w.count(":") > 3 or (i + 1 < len(r) and r[i + 1] in _SPELLED):
         return False
     digits = 0
     for x in r[i : i + 8]:
@@ -224,7 +283,7 @@ def against(docs: DataFrame, wanted: list[str]) -> DataFrame:
 
 
 def bootstrap(edges: DataFrame, docs: DataFrame, support: float = SUPPORT, pattern_from: float = PATTERN_FROM, accept: float = ACCEPT) -> DataFrame:
-    """(value): the look-alikes that are accepted, from edges (pattern, value, kind, seed) of the texts of docs."""
+    """(value, known): the look-alikes that are accepted, and how sure they are, from edges (pattern, value, kind, seed) of the texts of docs."""
     edges = written(edges.groupBy("pattern", "value", "kind").agg(F.max("seed").alias("seed")), "pii-edges")
     seeds = edges.filter("seed").select("value", F.lit(1.0).alias("known")).distinct()
     looks = edges.filter(~F.col("seed"))
@@ -251,16 +310,33 @@ def bootstrap(edges: DataFrame, docs: DataFrame, support: float = SUPPORT, patte
         if not fresh.count():
             break
         found = written(found.unionByName(fresh), "pii-found")
-    return found.select("value")
+    return found.select("value", "known")
+
+
+def chosen(scanned: DataFrame, accepted: DataFrame) -> DataFrame:
+    """(_d, _h, more): of each document the accepted look-alikes; of those that overlap the surest, then the longest."""
+
+    def work(batches):
+        for batch in batches:
+            out = []
+            for found in batch.column("more").to_pylist():
+                kept = []
+                for x in sorted(found, key=lambda x: (-round(x["known"], 9), x["start"] - x["end"], x["start"], x["kind"])):
+                    if all(x["end"] <= y["start"] or y["end"] <= x["start"] for y in kept):
+                        kept.append({k: x[k] for k in ("start", "kind", "end")})
+                out.append(sorted(kept, key=lambda x: x["start"]))
+            yield pa.RecordBatch.from_arrays([batch.column("_d"), batch.column("_h"), pa.array(out, pa.list_(_SPAN))], ["_d", "_h", "more"])
+
+    looks = scanned.select("doc_id", "text_hash", F.explode("looks").alias("l")).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "l.*")
+    more = looks.join(accepted, "value").groupBy("_d", "_h").agg(F.collect_set(F.struct("known", "start", "kind", "end")).alias("more"))
+    return written(more.mapInArrow(work, f"_d long, _h long, more {_SPANS}"), "pii-more")
 
 
 def find(docs: DataFrame, **how) -> DataFrame:
     """(doc_id, text_hash, base, base_sha, spans): spans are the base ones and those that the bootstrap adds."""
     scanned = written(scan(docs), "pii-scan")
     accepted = bootstrap(scanned.select(F.explode("edges").alias("e")).select("e.*"), docs, **how)
-    looks = scanned.select("doc_id", "text_hash", F.explode("looks").alias("l"))
-    more = looks.join(accepted, looks["l.value"] == accepted["value"], "left_semi").groupBy("doc_id", "text_hash")
-    more = written(more.agg(F.sort_array(F.collect_set(F.struct("l.start", "l.kind", "l.end"))).alias("more")).withColumnsRenamed({"doc_id": "_d", "text_hash": "_h"}), "pii-more")
+    more = chosen(scanned, accepted)
     same = scanned["doc_id"].eqNullSafe(more["_d"]) & (scanned["text_hash"] == more["_h"])
     spans = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "more")))
     return scanned.join(more, same, "left").select("doc_id", "text_hash", "base", "base_sha", spans.alias("spans"))
@@ -273,9 +349,7 @@ def redact(docs: DataFrame, **how) -> DataFrame:
     """
     scanned = written(scan(docs), "pii-scan")
     accepted = bootstrap(scanned.select(F.explode("edges").alias("e")).select("e.*"), docs, **how)
-    looks = scanned.select("doc_id", "text_hash", F.explode("looks").alias("l"))
-    more = looks.join(accepted, looks["l.value"] == accepted["value"], "left_semi").groupBy("doc_id", "text_hash")
-    more = written(more.agg(F.collect_set(F.struct("l.start", "l.kind", "l.end")).alias("_more")).withColumnsRenamed({"doc_id": "_d", "text_hash": "_h"}), "pii-more")
+    more = chosen(scanned, accepted).withColumnRenamed("more", "_more")
     names = docs.columns
     kept = docs.toDF(*(f"c{i}" for i in range(len(names))))
     at, text_at = names.index("doc_id"), names.index("text")
