@@ -153,6 +153,24 @@ def test_quality(spark, texts, odd):
     assert len(rows) == len(ODD) and all(r["base_failed"] and not r["kept"] for r in rows if r["doc_id"] in (2, 3, 4, 9))
 
 
+def test_quality_rejects_noise(spark, tmp_path):
+    import base64
+    import random
+
+    rng = random.Random(7)
+    noise = lambda letters: " ".join("".join(rng.choices(letters, k=rng.randint(3, 9))) for _ in range(80))
+    made = [noise("abcdefghijklmnopqrstuvwxyz"), noise("bcdfghjklmnpqrstvwxz"), "\n".join(base64.b64encode(rng.randbytes(54)).decode() for _ in range(20))]
+    rows = [(10 * i + j, text, lang) for i, text in enumerate(made) for j, lang in enumerate(("en", "de", "fr", "es", None))]
+    rows += [(100 + i, noise([chr(c) for c in range(a, b)]), lang) for i, (a, b, lang) in enumerate([(0xAC00, 0xD7A4, "ko"), (0x4E00, 0x9FFF, None), (0x1F600, 0x1F640, None), (0x430, 0x450, "ru")])]
+    korean = "모든 인간은 태어날 때부터 자유로우며 그 존엄과 권리에 있어 동등하다. 인간은 천부적으로 이성과 양심을 부여받았으며 서로 형제애의 정신으로 행동하여야 한다."
+    english = "All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience."
+    rows += [(200, korean, "ko"), (201, english, "en"), (202, english, None)]
+    path = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{path}/documents.parquet")
+    kept = {r["doc_id"]: (r["kept"], r["base_failed"]) for r in queries.op3_quality(spark, path).collect()}
+    assert len(kept) == len(rows) and all(not failed and keep == (i >= 200) for i, (keep, failed) in kept.items())
+
+
 def test_language(spark, docs, odd):
     wanted = {r["doc_id"]: r["lang"] for r in docs.collect()}
     rows = queries.op4_language(spark, SF).collect()

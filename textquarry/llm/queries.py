@@ -25,7 +25,7 @@ def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rated = quality.rate(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), ["doc_id"])
+    rated = quality.rate(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), ["doc_id"], lang="lang")
     return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "chars_per_token", "byte_share", "token_entropy", "script")
 
 
