@@ -235,6 +235,13 @@ def test_near_copies(spark, texts, odd):
     assert kept == sorted(["1", "2", "3", "4", "5", "7", "8", "9", "10", "None"])
 
 
+@pytest.mark.parametrize("percent", [60, 80, 85, 95])
+def test_bands_follow_the_threshold(percent):
+    bands, rows = minhash.banding(percent)
+    assert (1 - (percent / 100) ** rows) ** bands <= 1.25e-5
+    assert len(minhash.bands(minhash.shingles("a b c d e f g h", 3), bands, rows)) == bands
+
+
 def test_warc(spark):
     rows = [(3, "http://a\r\nb", "<p>same</p>"), (1, None, "<p>same</p>"), (2, "u", None), (5, "u", ""), (4, "u", "é" * 50_000), (7, "x", "\r\n\r\n")]
     pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, record_type int")

@@ -1,8 +1,8 @@
 """MinHash near-duplicates: one-permutation hashing with optimal densification, banded buckets, star-shaped edges.
 
 1. Per document, in its task: the set of its shingles as 64-bit hashes, a 128-bit digest of the set, and a signature
-   of BINS values from one hash of each shingle (the least per bin); an empty bin takes the value of a full one that
-   its own sequence of hashes finds first. BANDS bands of ROWS values are hashed.
+   of bands x rows values from one hash of each shingle (the least per bin); an empty bin takes the value of a full one that
+   its own sequence of hashes finds first. Each band's rows are hashed.
 2. Documents with equal sets are one class; its smallest id stands for it from here on.
 3. A bucket links its members to its smallest, so m members give m - 1 edges. The components of these edges are
    clusters of candidates: every pair that shares a bucket is in one.
@@ -11,7 +11,8 @@
    links that it finds, never its pairs. All links between members of a cluster are found, whichever buckets they share.
 5. The components of those links are the answer.
 
-At the threshold, J = 0.85, two sets share none of 24 bands of 6 with probability (1 - 0.85**6) ** 24 = 1.2e-5.
+Bands and rows follow from the threshold J, so that two sets at it share no band with probability MISS at most: 24 bands
+of 6 at 0.85 (op5; (1 - 0.85**6) ** 24 = 1.2e-5), 29 bands of 5 at 0.8 (the pipeline's stage; 1.0e-5).
 
 A null or empty text has no shingles and links with nothing; one of fewer than `size` words has the one shingle of all
 its words. Rows with a null id are not linked and not kept; rows that repeat an id with different texts are one node.
@@ -21,6 +22,7 @@ An empty table has an empty result. Extra columns are kept by `drop_copies` and
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,7 @@ from pyspark.sql import functions as F
 from .common import filtered_join, words, written
 from .components import Forest, components
 
-BANDS, ROWS, BLOCK = 24, 6, 512
-BINS = BANDS * ROWS
+MISS, BLOCK = 1.25e-5, 512
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _WORDS: dict[str, int] = {}
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -70,34 +71,42 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(out)
 
 
-def signature(s: np.ndarray) -> np.ndarray:
-    """BINS values: the least hash of each bin; empty bins borrow by optimal densification."""
-    bins = ((s >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and rows for a threshold: rows fall with it, and bands are as many as MISS asks for."""
+    rows = next(r for least, r in ((85, 6), (75, 5), (60, 4), (40, 3), (20, 2), (0, 1)) if percent >= least)
+    j = min(max(percent, 1), 99) / 100
+    return math.ceil(math.log(MISS) / math.log(1 - j**rows)), rows
+
+
+def signature(s: np.ndarray, n: int) -> np.ndarray:
+    """n values: the least hash of each bin; empty bins borrow by optimal densification."""
+    bins = ((s >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
     first = np.concatenate([[0], np.flatnonzero(np.diff(bins)) + 1])  # hashes are sorted, so bins are, too
-    out, full = np.zeros(BINS, dtype=np.uint64), np.zeros(BINS, dtype=bool)
+    out, full = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=bool)
     at = bins[first].astype(np.int64)
     out[at], full[at] = s[first], True
     open_, attempt = np.flatnonzero(~full), 0
     values = out.copy()
     while len(open_):
         attempt += 1
-        to = (_mix(open_.astype(np.uint64) * np.uint64(BINS + 1) + np.full(1, attempt, dtype=np.uint64) * _M) % np.uint64(BINS)).astype(np.int64)
+        to = (_mix(open_.astype(np.uint64) * np.uint64(n + 1) + np.full(1, attempt, dtype=np.uint64) * _M) % np.uint64(n)).astype(np.int64)
         hit = full[to]
         out[open_[hit]] = values[to[hit]]
         open_ = open_[~hit]
     return out
 
 
-def bands(s: np.ndarray) -> np.ndarray:
-    rows = signature(s).reshape(BANDS, ROWS)
-    out = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for k in range(ROWS):
+def bands(s: np.ndarray, n: int, size: int) -> np.ndarray:
+    rows = signature(s, n * size).reshape(n, size)
+    out = np.arange(1, n + 1, dtype=np.uint64)
+    for k in range(size):
         out = _mix((out + _M) ^ rows[:, k])
     return out.view(np.int64)
 
 
-def sketch(docs: DataFrame, size: int) -> DataFrame:
+def sketch(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, set_hash binary, bands array<long> (none for an empty set)."""
+    n_bands, rows = banding(percent)
 
     def work(batches):
         for batch in batches:
@@ -106,7 +115,7 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
                 s = shingles(text, size)
                 n.append(len(s))
                 sets.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                found.append(bands(s) if len(s) else None)
+                found.append(bands(s, n_bands, rows) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_hash", "bands"])
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(work, "doc_id long, n_shingles long, set_hash binary, bands array<long>")
@@ -172,7 +181,7 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sketched = written(sketch(docs, size), "sketches")
+    sketched = written(sketch(docs, size, percent), "sketches")
     # classes of equal sets; equal sets have equal bands
     full = sketched.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = written(full.groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "classes")
