@@ -242,6 +242,13 @@ def test_bands_follow_the_threshold(percent):
     assert len(minhash.bands(minhash.shingles("a b c d e f g h", 3), bands, rows)) == bands
 
 
+def test_drop_copies_keeps_one_row_of_each_group(spark):
+    a, b, c = ("one two three four five six seven", "red green blue black white grey pink", "north south east west up down left")
+    rows = [(3, a), (3, a), (None, a), (1, b), (3, b), (3, c), (None, c), (None, "quite another text of some words"), (None, "quite another text of some words"), (9, None), (9, None)]
+    got = [(r["doc_id"], r["text"]) for r in minhash.drop_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert sorted(got, key=str) == sorted([(3, a), (1, b), (3, c), (None, "quite another text of some words"), (9, None), (9, None)], key=str)
+
+
 def test_warc(spark):
     rows = [(3, "http://a\r\nb", "<p>same</p>"), (1, None, "<p>same</p>"), (2, "u", None), (5, "u", ""), (4, "u", "é" * 50_000), (7, "x", "\r\n\r\n")]
     pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, record_type int")

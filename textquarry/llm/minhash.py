@@ -216,7 +216,14 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the rows that are not kept: one document of each group stays, its columns as they were."""
-    dropped = near_copies(docs, size, percent).filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_dropped")).distinct()
-    dropped = written(dropped, "dropped")
-    return docs.join(dropped, docs["doc_id"] == dropped["_dropped"], "left_anti")
+    """docs with exactly one row of each group, its columns as they were: the one of the smallest id, null ids last.
+
+    Groups are of rows, told apart by numbers of their own, so repeated ids and null ids are like any others.
+    """
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    ids = rows.select("_row", rows["doc_id"].cast("long").alias("_id"))
+    groups = near_copies(rows.select(F.col("_row").alias("doc_id"), "text"), size, percent).select(F.col("doc_id").alias("_of"), "component_id")
+    placed = written(groups.join(ids, groups["_of"] == ids["_row"]).select("_row", "_id", "component_id"), "row-groups")
+    stays = placed.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("first")).select(F.col("first._row").alias("_stays"))
+    dropped = written(placed.join(stays, placed["_row"] == stays["_stays"], "left_anti").select(F.col("_row").alias("_dropped")), "dropped")
+    return rows.join(dropped, rows["_row"] == dropped["_dropped"], "left_anti").drop("_row")
