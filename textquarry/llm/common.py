@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +52,59 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Kept:
+    """What a Python worker keeps between its tasks: one thing, and only while tasks of the same owner follow each other.
+
+    Workers are used again by later stages; what an earlier stage kept would stand beside the later one's memory.
+    """
+
+    owner: str | None = None
+    key: object = None
+    value: object = None
+
+    @classmethod
+    def enter(cls, owner: str) -> None:
+        if cls.owner != owner:
+            cls.owner, cls.key, cls.value = owner, None, None
+            cls.tidy()
+
+    @classmethod
+    def get(cls, key: object, make: Callable[[], object]):
+        """The thing kept under the key; made anew, and what was kept let go first, if another key was asked for last."""
+        if cls.value is None or cls.key != key:
+            cls.key = cls.value = None
+            cls.key, cls.value = key, make()
+        return cls.value
+
+    @staticmethod
+    def tidy() -> None:
+        """Memory that is free goes back to the machine."""
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not every libc can
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+#: Bytes of one batch of rows that a Python worker gets, unless the session says otherwise. A longer row is a batch of its own.
+BATCH_BYTES = 8 << 20
+
+
+def mapped(df: DataFrame, work: Callable, schema: str, owner: str) -> DataFrame:
+    """df.mapInArrow(work, schema) in batches that are bounded in bytes, by workers that keep nothing of another owner."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, None) is None:
+        conf.set(key, str(BATCH_BYTES))
+
+    def bounded(batches):
+        Kept.enter(owner)
+        try:
+            yield from work(batches)
+        finally:
+            Kept.tidy()
+
+    return df.mapInArrow(bounded, schema)
+
+
 @contextlib.contextmanager
 def settings(spark: SparkSession, **conf):
     """Session settings for the jobs inside; __ in a name stands for a dot. What was set before comes back."""

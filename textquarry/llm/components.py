@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import mapped, written
 
 
 class Forest:
@@ -54,7 +54,7 @@ def forests(edges: DataFrame, most: int = 500_000) -> DataFrame:
                 yield out()
         yield out()
 
-    return edges.select("u", "v").filter("u <> v").mapInArrow(work, "u long, v long")
+    return mapped(edges.select("u", "v").filter("u <> v"), work, "u long, v long", "components")
 
 
 def components(edges: DataFrame) -> DataFrame:

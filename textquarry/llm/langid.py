@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -23,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Kept, mapped
 from .scripts import _RUNS
 
 #: Bound of the fit: texts per language, and n-grams per language.
 PER_LANGUAGE, GRAMS, PENALTY = 500, 20_000, 12.0
 _LETTERS = re.compile(r"[^\W\d_]+")
-_STATE: dict = {}
 
 
 def grams(word: str) -> list[str]:
@@ -129,12 +130,14 @@ class Words:
 def viterbi(s: np.ndarray, penalty: float) -> np.ndarray:
     """The path of most score over rows of s, each change costing `penalty`; ties keep the language, then take the first."""
     n, m = s.shape
-    # a constant path is the best one if no stretch of one other language gains more than one change costs: a detour of
-    # k stretches has k changes at least
+    # The best constant path j is the best of all if two things hold. No stretch of one other language gains more than a
+    # change costs: a path that uses j and k other stretches has k changes at least. And all words together gain no more
+    # than that by their own best other languages: a path without j that is not constant has one change at least.
     j = int(s.sum(axis=0).argmax())
+    more = s - s[:, j : j + 1]
     gain = np.zeros((n + 1, m))
-    np.cumsum(s - s[:, j : j + 1], axis=0, out=gain[1:])
-    if (gain - np.minimum.accumulate(gain, axis=0)).max() <= penalty:
+    np.cumsum(more, axis=0, out=gain[1:])
+    if (gain - np.minimum.accumulate(gain, axis=0)).max() <= penalty and (m < 3 or np.delete(more, j, axis=1).max(axis=1).sum() <= penalty):
         return np.full(n, j)
     d = s[0].tolist()
     back = []
@@ -192,23 +195,15 @@ def train(docs: DataFrame, which: Column, per_language: int = PER_LANGUAGE) -> d
     return fit(rows)
 
 
-def words_of(key, sent) -> Words:
-    """The worker's table for a model: it outlives a task."""
-    if key not in _STATE:
-        _STATE.clear()
-        _STATE[key] = Words(sent.value)
-    return _STATE[key]
-
-
 def predict(docs: DataFrame, model: dict, keep: list[str], penalty: float = PENALTY, spans: bool = False) -> DataFrame:
     """Columns `keep` of docs, lang_pred, score and, if asked for, spans array<struct<start, end, lang>>."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most GRAMS n-grams per language
     rows = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(keep)], docs["text"].alias("text"))
-    key = id(model), hash(tuple(model["langs"]))
+    key = uuid.uuid4().hex  # of this model in these tasks
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
     def work(batches):
-        known = words_of(key, sent)
+        known = Kept.get(key, lambda: Words(sent.value))
         for batch in batches:
             texts = batch.column("text").to_pylist()
             if spans:
@@ -222,4 +217,4 @@ def predict(docs: DataFrame, model: dict, keep: list[str], penalty: float = PENA
 
     schema = ", ".join([*(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)), "lang_pred string, score double" + ", spans array<struct<start:int,end:int,lang:string>>" * spans])
     names = [*keep, "lang_pred", "score", *(["spans"] if spans else [])]
-    return rows.mapInArrow(work, schema).toDF(*names)
+    return mapped(rows, work, schema, "language").toDF(*names)

@@ -30,12 +30,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filtered_join, words, written
+from .common import Kept, filtered_join, mapped, words, written
 from .components import Forest, components
 
 MISS, BLOCK = 1.25e-5, 512
 _LOWER = {c: c + 32 for c in range(65, 91)}
-_WORDS: dict[str, int] = {}
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -47,14 +46,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(ws: list[str]) -> np.ndarray:
     """64-bit hashes of words, A-Z as a-z."""
-    found = list(map(_WORDS.get, ws))
+    known: dict[str, int] = Kept.get("word hashes", dict)
+    found = list(map(known.get, ws))
     if None in found:
-        if len(_WORDS) > 100_000:
-            _WORDS.clear()
+        if len(known) > 100_000:
+            known.clear()
         for w in ws:
-            if w not in _WORDS:
-                _WORDS[w] = xxhash.xxh3_64_intdigest((w.lower() if w.isascii() else w.translate(_LOWER)).encode())
-        found = list(map(_WORDS.__getitem__, ws))
+            if w not in known:
+                known[w] = xxhash.xxh3_64_intdigest((w.lower() if w.isascii() else w.translate(_LOWER)).encode())
+        found = list(map(known.__getitem__, ws))
     return np.array(found, dtype=np.uint64)
 
 
@@ -118,7 +118,7 @@ def sketch(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 found.append(bands(s, n_bands, rows) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_hash", "bands"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(work, "doc_id long, n_shingles long, set_hash binary, bands array<long>")
+    return mapped(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")), work, "doc_id long, n_shingles long, set_hash binary, bands array<long>", "minhash")
 
 
 def _links(left: list[np.ndarray], right: list[np.ndarray], same: bool, percent: int):
@@ -171,7 +171,7 @@ def confirm(members: DataFrame, size: int, percent: int, parts: int) -> DataFram
             out += spanning(key[1] == key[2], *sides)
         yield batch_of(out)
 
-    return members.repartition(parts, "cluster", "a", "b").sortWithinPartitions("cluster", "a", "b", "side", "doc_id").mapInArrow(work, "u long, v long")
+    return mapped(members.repartition(parts, "cluster", "a", "b").sortWithinPartitions("cluster", "a", "b", "side", "doc_id"), work, "u long, v long", "minhash")
 
 
 def near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

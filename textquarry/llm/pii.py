@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import mapped, written
 
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT, PATTERN_FROM, ACCEPT = 3.0, 0.6, 0.8
@@ -223,7 +223,7 @@ def scan(docs: DataFrame) -> DataFrame:
             )
 
     schema = f"doc_id long, text_hash long, base {_SPANS}, base_sha binary, looks array<struct<start:int,kind:int,end:int,value:bigint>>, edges array<struct<pattern:string,value:bigint,kind:int,seed:boolean>>"
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(work, schema)
+    return mapped(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")), work, schema, "pii")
 
 
 _SPELLED = frozenset(f"{a}{w}{b}" for w in ("at", "dot", "@") for a, b in ("  ", "()", "[]", "{}", "<>") for a, b in [(a.strip(), b.strip())])
@@ -279,7 +279,7 @@ def against(docs: DataFrame, wanted: list[str]) -> DataFrame:
         rows = list(seen)
         return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.string()), pa.array([_hash(w) for _, w in rows], pa.int64())], ["pattern", "word"])
 
-    return docs.select("text").mapInArrow(work, "pattern string, word long").distinct().groupBy("pattern").agg(F.count("*").alias("against"))
+    return mapped(docs.select("text"), work, "pattern string, word long", "pii").distinct().groupBy("pattern").agg(F.count("*").alias("against"))
 
 
 def bootstrap(edges: DataFrame, docs: DataFrame, support: float = SUPPORT, pattern_from: float = PATTERN_FROM, accept: float = ACCEPT) -> DataFrame:
@@ -329,7 +329,7 @@ def chosen(scanned: DataFrame, accepted: DataFrame) -> DataFrame:
 
     looks = scanned.select("doc_id", "text_hash", F.explode("looks").alias("l")).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "l.*")
     more = looks.join(accepted, "value").groupBy("_d", "_h").agg(F.collect_set(F.struct("known", "start", "kind", "end")).alias("more"))
-    return written(more.mapInArrow(work, f"_d long, _h long, more {_SPANS}"), "pii-more")
+    return written(mapped(more, work, f"_d long, _h long, more {_SPANS}", "pii"), "pii-more")
 
 
 def find(docs: DataFrame, **how) -> DataFrame:
@@ -377,7 +377,7 @@ def redact(docs: DataFrame, **how) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(names))])
 
     schema = ", ".join(f"c{i} {'string' if i == text_at else 'bigint' if i == n_at else f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
-    return rows.mapInArrow(work, schema).toDF(*names)
+    return mapped(rows, work, schema, "pii").toDF(*names)
 
 
 def replaced(text: str, spans: list[tuple[int, int, int]]) -> str:

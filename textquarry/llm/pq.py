@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import mapped, written
 from .components import Forest, components
 
 #: Bounds of the fit and of the blocks.
@@ -134,7 +134,7 @@ def index_rows(vectors: DataFrame, index, r: float, members: int, queries: int)
                     if len(at):
                         yield rows(at, lists, 0)
 
-    return vectors.mapInArrow(work, "list int, side int, vec_id long, times long, vector binary, codes binary, error double")
+    return mapped(vectors, work, "list int, side int, vec_id long, times long, vector binary, codes binary, error double", "pq")
 
 
 def compare(groups: DataFrame, index, cosine: float, r: float) -> DataFrame:
@@ -199,7 +199,7 @@ def compare(groups: DataFrame, index, cosine: float, r: float) -> DataFrame:
             out += done(key, sides)
         yield batch_of(out)
 
-    return groups.mapInArrow(work, "vec_id long, links long, root long")
+    return mapped(groups, work, "vec_id long, links long, root long", "pq")
 
 
 def near_vectors(vectors: DataFrame, cosine: float = 0.8, sample: int = SAMPLE) -> DataFrame:

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import words
+from .common import Kept, mapped, words
 from .scripts import script_of
 
 
@@ -56,7 +56,6 @@ LEAST_WORDS, REPEATED_PERCENT, WINDOW = 10, 20, 5
 ENTROPY_TOKENS = 1024
 
 _SYMBOL = re.compile(r"[#*$%&|<>]")
-_STATE: dict[str, tuple] = {}
 FIELDS = (
     ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("kept", pa.bool_()),
     ("n_tokens", pa.int64()), ("chars_per_token", pa.float64()), ("byte_share", pa.float64()), ("token_entropy", pa.float64()), ("script", pa.string()),
@@ -101,7 +100,7 @@ def n_dup_lines(text: str) -> int:
 class Pieces:
     """Token ids of words, from a cache; ids of byte tokens are those of the vocabulary's <0x..> pieces."""
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 200_000):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -121,13 +120,6 @@ class Pieces:
         return np.frombuffer(b"".join(found), dtype="<i4")
 
 
-def pieces_of(path: str) -> Pieces:
-    """The worker's cache for a vocabulary: it outlives a task."""
-    if path not in _STATE:
-        _STATE[path] = Pieces(path)
-    return _STATE[path]
-
-
 def fertility(ids: np.ndarray, chars: int, is_byte: np.ndarray) -> tuple[float, float, float]:
     """Characters per token, share of byte tokens, and entropy as a share of log2 of the number of tokens, ENTROPY_TOKENS at most."""
     n = len(ids)
@@ -163,7 +155,7 @@ def rate(docs: DataFrame, vocabulary: str, keep: list[str], lang: str | None = N
     rows = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(keep)], docs["text"].alias("text"), *([docs[lang].alias("lang")] if lang else []))
 
     def work(batches):
-        pieces = pieces_of(vocabulary)
+        pieces = Kept.get(vocabulary, lambda: Pieces(vocabulary))
         for batch in batches:
             langs = batch.column("lang").to_pylist() if lang else [None] * batch.num_rows
             made = [judge(t, g, pieces, bands, language_bands) for t, g in zip(batch.column("text").to_pylist(), langs, strict=True)]
@@ -171,4 +163,4 @@ def rate(docs: DataFrame, vocabulary: str, keep: list[str], lang: str | None = N
             yield pa.RecordBatch.from_arrays([*(batch.column(f"k{i}") for i in range(len(keep))), *(pa.array(c, t) for c, (_, t) in zip(columns, FIELDS, strict=True))], [*(f"k{i}" for i in range(len(keep))), *(n for n, _ in FIELDS)])
 
     schema = ", ".join([*(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)), SCHEMA])
-    return rows.mapInArrow(work, schema).toDF(*keep, *(n for n, _ in FIELDS))
+    return mapped(rows, work, schema, "quality").toDF(*keep, *(n for n, _ in FIELDS))
