@@ -4,7 +4,8 @@
    about the same count are in it together or not at all). Rarer words are never left out: they are merged where they occur.
 2. The driver merges the lexicon's words once, compiles them with their ids into a minimal acyclic automaton, and
    hands the file to the executors, which memory-map it; an executor that joins later fetches it again.
-3. Texts are encoded chunk by chunk (see pieces): a new word's ids come from the automaton, or else by the merges.
+3. Texts are encoded group by group (see pieces): a group's different words get their ids from the automaton, or else by
+   the vocabulary's merges, and a text's ids are those of its words.
 
 Nothing but the rows of the counts is shuffled; texts stay where they are. A null or empty text has no ids and decodes
 to the empty text. Extra columns, null ids and repeated rows are kept as they are; an empty table has an empty result.
@@ -15,10 +16,8 @@ their ids. Decoding joins the tokens by one blank, as the library does for a voc
 from __future__ import annotations
 
 import hashlib
-import json
-import os
-import tempfile
 import uuid
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,170 +25,40 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from . import files
+from .common import Kept, mapped, shared_dir, written
 from .lexicon import Lexicon, build
-from .pieces import Chunks, Splitter, in_groups, words
+from .pieces import Encoder, Splitter, Values, gathered, in_groups
 
 LEXICON_SIZE = 65_536
-_STATE: dict[object, object] = {}
 
 
-class Merges:
-    """The merges of a vocabulary with an end-of-word suffix, applied to one word at a time."""
-
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)
-        self.special = {t["content"]: t["id"] for t in model["added_tokens"]}
-        model = model["model"]
-        self.suffix, self.vocab = model["end_of_word_suffix"], model["vocab"]
-        self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): k for k, m in enumerate(model["merges"])}
-        self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
-        self.symbols = {c: i for c, i in self.vocab.items() if len(c) == 1 and c + self.suffix in self.vocab}
-        self.end_symbols = {c: self.vocab[c + self.suffix] for c in self.symbols}
-        made = [(self.vocab[a] * len(self.token) * 2 + self.vocab[b], k, self.vocab[a + b]) for (a, b), k in self.ranks.items()]
-        self.merged = np.array([m for _, _, m in made], dtype=np.int64)
-        made.sort()
-        self.pair_keys, self.pair_rank = (np.array([m[i] for m in made], dtype=np.int64) for i in (0, 1))
-
-    def __call__(self, word: str) -> list[int]:
-        """Ids of a word in byte letters: the pair of least rank is merged, leftmost first, until none is left."""
-        if word in self.special:
-            return [self.special[word]]
-        parts = [*word[:-1], word[-1] + self.suffix]
-        rank = self.ranks.get
-        never = len(self.ranks)
-        pairs = [rank(p, never) for p in zip(parts, parts[1:])]
-        if len(parts) > 64:
-            return self._long(parts)
-        while pairs:
-            least = min(pairs)
-            if least == never:
-                break
-            i = pairs.index(least)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del pairs[i]
-            if i:
-                pairs[i - 1] = rank((parts[i - 1], parts[i]), never)
-            if i < len(pairs):
-                pairs[i] = rank((parts[i], parts[i + 1]), never)
-        return [self.vocab[p] for p in parts if p in self.vocab]
-
-    def many(self, words: list[str], rows: int = 2048) -> list[list[int]]:
-        """The ids of many words, of similar length at a time: their rows are then short and stay in the processor's cache."""
-        order = sorted(range(len(words)), key=lambda k: len(words[k]))
-        out: list[list[int]] = [[]] * len(words)
-        for i in range(0, len(order), rows):
-            part = order[i : i + rows]
-            for k, ids in zip(part, self._together([words[k] for k in part]), strict=True):
-                out[k] = ids
-        return out
-
-    def _together(self, words: list[str]) -> list[list[int]]:
-        """The same for many words at once: each round merges the least pair of every word that has one."""
-        out: list[list[int] | None] = [None] * len(words)
-        rows = []
-        for k, w in enumerate(words):
-            if w in self.special or len(w) > 32 or not all(c in self.symbols for c in w):
-                out[k] = self(w)
-            else:
-                rows.append(k)
-        if not rows:
-            return out
-        width = max(len(words[k]) for k in rows)
-        n = np.array([len(words[k]) for k in rows])
-        # columns of symbol ids; behind a word's end stands -1, which is in no pair
-        x = np.full((len(rows), width + 2), -1, dtype=np.int64)
-        codes, ends = self.symbols, self.end_symbols
-        flat = np.fromiter((codes[c] for k in rows for c in words[k]), dtype=np.int64, count=int(n.sum()))
-        at = np.arange(width + 2)
-        x[at[None, :] < n[:, None]] = flat
-        x[np.arange(len(rows)), n - 1] = [ends[words[k][-1]] for k in rows]
-        never = len(self.pair_rank)
-        ranks = self._ranks(x[:, :-1], x[:, 1:])
-        live = np.arange(len(rows))
-        while len(live):
-            r = ranks[live]
-            col = r.argmin(axis=1)
-            best = r[np.arange(len(live)), col]
-            ok = best < never
-            live, col, best = live[ok], col[ok], best[ok]
-            if not len(live):
-                break
-            # what follows the pair moves up by one
-            shift = np.minimum(at[None, :] + (at[None, :] > col[:, None]), width + 1)
-            y = np.take_along_axis(x[live], shift, axis=1)
-            y[np.arange(len(live)), col] = self.merged[best]
-            x[live] = y
-            q = np.take_along_axis(ranks[live], np.minimum(shift[:, :-1], width), axis=1)
-            one = np.arange(len(live))
-            q[one, col] = self._ranks(y[one, col], y[one, col + 1])
-            left = np.maximum(col - 1, 0)
-            q[one, left] = self._ranks(y[one, left], y[one, left + 1])
-            ranks[live] = q
-        for k, row in zip(rows, x.tolist(), strict=True):
-            out[k] = row[: row.index(-1)]
-        return out
-
-    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = a * len(self.token) * 2 + b
-        i = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where((self.pair_keys[i] == key) & (a >= 0) & (b >= 0), self.pair_rank[i], len(self.pair_rank))
-
-    def _long(self, parts: list[str]) -> list[int]:
-        """The same with a heap over a linked list, for words of any length."""
-        from heapq import heapify, heappop, heappush
-
-        n, rank = len(parts), self.ranks.get
-        after, before, gone = list(range(1, n + 1)), list(range(-1, n - 1)), [False] * n
-        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := rank((parts[i], parts[i + 1]))) is not None]
-        heapify(heap)
-        while heap:
-            _, i, a, b = heappop(heap)
-            j = after[i]
-            if gone[i] or j >= n or parts[i] != a or parts[j] != b:
-                continue
-            parts[i], gone[j], after[i] = a + b, True, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            for left, right in ((before[i], i), (i, after[i])):
-                if left >= 0 and right < n and (r := rank((parts[left], parts[right]))) is not None:
-                    heappush(heap, (r, left, parts[left], parts[right]))
-        return [self.vocab[p] for p, g in zip(parts, gone, strict=True) if not g and p in self.vocab]
-
-
-def count_words(texts: DataFrame, tokenizer: str) -> DataFrame:
-    """(word, n): every word of column `text` of all rows, in byte letters. Tasks count before the shuffle."""
+def count_words(texts: DataFrame, tokenizer: str, most: int = 200_000) -> DataFrame:
+    """(word, n): every word of column `text` of all rows, in byte letters. Tasks count `most` words or so before the shuffle."""
 
     def count(batches):
-        from collections import Counter
-
-        split = Splitter(tokenizer)
-        chunks: Counter = Counter()
+        split = Kept.get(tokenizer, lambda: Splitter(tokenizer))
+        total: dict[str, int] = {}
 
         def out():
-            found: Counter = Counter()
-            for ws, n in zip(split.many(list(chunks)), chunks.values(), strict=True):
-                for w in ws:
-                    found[w] += n
-            chunks.clear()
-            return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())], ["word", "n"])
 
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                if text:
-                    chunks.update(words(text))
-                    if len(chunks) > 200_000:
-                        yield out()
-        if chunks:
-            yield out()
+            for texts in in_groups([t for t in batch.column("text").to_pylist() if t]):
+                group = split.group(texts)
+                for w, n in zip(group.words, group.counts().tolist(), strict=True):
+                    total[w] = total.get(w, 0) + n
+                if len(total) > most:
+                    yield out()
+                    total = {}
+        yield out()
 
-    return texts.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return mapped(texts.select("text"), count, "word string, n long", "bpe-count").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def compile_lexicon(docs: DataFrame, tokenizer: str, size: int = LEXICON_SIZE) -> str:
     """The name of a file that SparkFiles.get finds on every executor."""
-    merges = Merges(tokenizer)
+    spark = docs.sparkSession
     # a word longer than this is not worth a path of its own, however frequent: it is merged where it occurs
     counts = written(count_words(docs, tokenizer).filter(F.length("word") <= 64), "word-counts")
     # a histogram of at most some thousand rows tells from which count on the words are `size` at most; only those are collected
@@ -201,48 +70,53 @@ def compile_lexicon(docs: DataFrame, tokenizer: str, size: int = LEXICON_SIZE) -
             least = at + 1
             break
     by_bytes = sorted((r[0].encode(), r[0]) for r in counts.filter(cell >= least).select("word").collect())
-    folder = tempfile.mkdtemp(prefix="lexicon-")
-    path = f"{folder}/new"
-    build([b for b, _ in by_bytes], merges.many([w for _, w in by_bytes]), path)
     name = f"lexicon-{uuid.uuid4().hex}.bin"  # a name is given out once in a session
-    os.rename(path, f"{folder}/{name}")
-    docs.sparkSession.sparkContext.addFile(f"{folder}/{name}")
+    out = files.Committed(shared_dir(spark), name)
+    out.write(build([b for b, _ in by_bytes], Encoder(Splitter(tokenizer))([w for _, w in by_bytes])))
+    out.commit()
+    spark.sparkContext.addFile(f"{shared_dir(spark)}/{name}")
     return name
 
 
-def encoder(tokenizer: str, lexicon: str) -> Chunks:
-    """Chunks whose values are (ids, tokens): decimal ids and the tokens, each joined by one blank, in bytes."""
-    if (tokenizer, lexicon) not in _STATE:
-        for k in [k for k in _STATE if k[0] == tokenizer]:
-            del _STATE[k]  # one at a time: a worker may outlive many jobs
-        merges, known = Merges(tokenizer), Lexicon(SparkFiles.get(lexicon))
+def encoder(tokenizer: str, lexicon: str, strings: bool) -> tuple[Splitter, Values]:
+    """Words and their values (ids, decimals, tokens): ids as little-endian bytes and, if asked for, in decimal and as tokens, each joined by one blank."""
+    split, known = Splitter(tokenizer), Lexicon(SparkFiles.get(lexicon))
+    merged = Encoder(split)
+    tokens = {i: t.encode() for t, i in split.tokenizer.get_vocab().items()}
+    decimals = {i: b"%d" % i for i in tokens}
+
+    def fill(ws: list[str]) -> list[tuple[bytes, bytes, bytes]]:
+        numbers = known.numbers([w.encode() for w in ws]).tolist()
+        unseen = iter(merged([w for w, k in zip(ws, numbers, strict=True) if k < 0]))
+        out = []
+        for k in numbers:
+            ids = known.outputs(k) if k >= 0 else next(unseen)
+            both = (b" ".join(map(decimals.__getitem__, ids)), b" ".join(map(tokens.__getitem__, ids))) if strings else (b"", b"")
+            out.append((array("I", ids).tobytes(), *both))
+        return out
 
-        def fill(ws: list[str]) -> list[tuple[bytes, bytes]]:
-            numbers = known.numbers([w.encode() for w in ws]).tolist()
-            unseen = iter(merges.many([w for w, k in zip(ws, numbers, strict=True) if k < 0]))
-            out = []
-            for k in numbers:
-                ids = known.outputs(k) if k >= 0 else next(unseen)
-                out.append((b" ".join(b"%d" % i for i in ids), " ".join(map(merges.token.__getitem__, ids)).encode()))
-            return out
+    return split, Values(fill)
 
-        def join(values: list[tuple[bytes, bytes]]) -> tuple[bytes, bytes]:
-            values = [v for v in values if v[0]]
-            return b" ".join(v[0] for v in values), b" ".join(v[1] for v in values)
 
-        _STATE[tokenizer, lexicon] = Chunks(Splitter(tokenizer), fill, join)
-    return _STATE[tokenizer, lexicon]
+#: What `encode` can add to a row.
+OUTPUTS = {"ids": "array<int>", "decoded": "string", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
 
 
-#: What `encode` can add to a row: name, type, and how it is made of the joined ids and tokens.
-OUTPUTS = {
-    "ids": (pa.list_(pa.int32()), lambda ids, tokens: np.array(ids.split() or [0]).astype(np.int32)[: None if ids else 0]),
-    "decoded": (pa.string(), lambda ids, tokens: tokens.decode()),
-    "n_tokens": (pa.int64(), lambda ids, tokens: ids.count(b" ") + 1 if ids else 0),
-    "ids_sha256": (pa.string(), lambda ids, tokens: hashlib.sha256(ids).hexdigest()),
-    "decoded_sha256": (pa.string(), lambda ids, tokens: hashlib.sha256(tokens).hexdigest()),
-}
-_SQL = {"ids": "array<int>", "decoded": "string", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
+def outputs_of(texts: list[str], split: Splitter, values: Values, outputs: tuple[str, ...]) -> list[pa.Array]:
+    group = split.group(texts)
+    found = values.of(group.words)
+    ids, upto = gathered([v[0] for v in found], group)
+    made: dict[str, pa.Array] = {
+        "ids": pa.ListArray.from_arrays(pa.array(np.append(0, upto).astype(np.int32)), pa.array(ids.astype(np.int32))),
+        "n_tokens": pa.array(np.diff(upto, prepend=0), pa.int64()),
+    }
+    for at, whole, digest in ((1, "", "ids_sha256"), (2, "decoded", "decoded_sha256")):
+        if whole in outputs or digest in outputs:
+            of_word = [v[at] for v in found]
+            rows = [b" ".join(map(of_word.__getitem__, group.codes[a:b].tolist())) for a, b in zip([0, *group.ends.tolist()], group.ends.tolist(), strict=False)]
+            made[whole] = pa.array([r.decode() for r in rows], pa.string()) if whole in outputs else None
+            made[digest] = pa.array([hashlib.sha256(r).hexdigest() for r in rows], pa.string())
+    return [made[o] for o in outputs]
 
 
 def encode(docs: DataFrame, tokenizer: str, keep: list[str], outputs: tuple[str, ...] = ("ids", "decoded"), size: int = LEXICON_SIZE) -> DataFrame:
@@ -250,21 +124,18 @@ def encode(docs: DataFrame, tokenizer: str, keep: list[str], outputs: tuple[str,
     lexicon = compile_lexicon(docs, tokenizer, size)
     keep = [c for c in keep if c not in outputs]
     rows = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(docs["text"], F.lit("")).alias("text"))
+    strings = not set(outputs) <= {"ids", "n_tokens"}
+    names = [*(f"k{i}" for i in range(len(keep))), *(f"o{i}" for i in range(len(outputs)))]
 
     def work(batches):
-        chunks = encoder(tokenizer, lexicon)
+        split, values = Kept.get((tokenizer, lexicon, strings), lambda: encoder(tokenizer, lexicon, strings))
         for batch in batches:
             at = 0
-            for group in in_groups(batch.column("text").to_pylist()):
-                made = {o: [] for o in outputs}
-                for values in chunks.values(group):
-                    ids, tokens = b" ".join([v[0] for v in values if v[0]]), b" ".join([v[1] for v in values if v[0]])
-                    for o in outputs:
-                        made[o].append(OUTPUTS[o][1](ids, tokens))
+            for texts in in_groups(batch.column("text").to_pylist()):
                 # a batch for each group: what is held at once does not grow with the rows of a batch
-                kept = [batch.column(f"k{i}").slice(at, len(group)) for i in range(len(keep))]
-                at += len(group)
-                yield pa.RecordBatch.from_arrays([*kept, *(pa.array(made[o], OUTPUTS[o][0]) for o in outputs)], [*(f"k{i}" for i in range(len(keep))), *(f"o{i}" for i in range(len(outputs)))])
+                kept = [batch.column(f"k{i}").slice(at, len(texts)) for i in range(len(keep))]
+                at += len(texts)
+                yield pa.RecordBatch.from_arrays([*kept, *outputs_of(texts, split, values, outputs)], names)
 
-    schema = ", ".join([*(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)), *(f"o{i} {_SQL[o]}" for i, o in enumerate(outputs))])
-    return rows.mapInArrow(work, schema).toDF(*keep, *outputs)
+    schema = ", ".join([*(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)), *(f"o{i} {OUTPUTS[o]}" for i, o in enumerate(outputs))])
+    return mapped(rows, work, schema, "bpe-encode").toDF(*keep, *outputs)

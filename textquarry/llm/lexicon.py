@@ -16,8 +16,8 @@ MAGIC = b"TQLEXIC1"
 _ARRAYS = ("keys", "targets", "skips", "final", "offsets", "ids")
 
 
-def build(words: list[bytes], outputs: list[list[int]], path: str) -> dict[str, int]:
-    """Writes the automaton of words, sorted and distinct, to path; its sizes."""
+def build(words: list[bytes], outputs: list[list[int]]) -> bytes:
+    """The file of the automaton of words, sorted and distinct."""
     register: dict[tuple, int] = {}
     states: list[tuple[bool, tuple[tuple[int, int], ...]]] = []
 
@@ -62,11 +62,10 @@ def build(words: list[bytes], outputs: list[list[int]], path: str) -> dict[str,
         "offsets": offsets.astype("<i8"), "ids": np.array([i for o in outputs for i in o], "<i4"),
     }
     head = json.dumps({"start": start, "arrays": {k: [a.dtype.str, len(a)] for k, a in arrays.items()}}).encode()
-    with open(path, "wb") as f:
-        f.write(MAGIC + struct.pack("<I", len(head)) + head)
-        for a in arrays.values():
-            f.write(b"\0" * (-f.tell() % 8) + a.tobytes())
-    return {"words": len(words), "states": len(states), "edges": len(keys)}
+    out = bytearray(MAGIC + struct.pack("<I", len(head)) + head)
+    for a in arrays.values():
+        out += b"\0" * (-len(out) % 8) + a.tobytes()
+    return bytes(out)
 
 
 class Lexicon:

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +29,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import files, shards
-from .common import written
-from .pieces import Chunks, Splitter, in_groups
+from .common import Kept, mapped, written
+from .pieces import Encoder, Splitter, Values, gathered, in_groups
 
 MAGIC, PER_BLOCK = b"TQTOKEN1", 8192
 HEADER, FOOTER = struct.Struct("<8sIIQQ"), struct.Struct("<QQQ8s")
 MANIFEST = "file string, shard int, part int, documents long, ids long, bytes long"
-_STATE: dict[str, object] = {}
 
 
 def bits_for(vocabulary: int) -> int:
@@ -127,57 +127,51 @@ class Reader:
         return out[0] if len(out) == 1 else np.concatenate(out)
 
 
-def library_chunks(path: str) -> Chunks:
-    """Chunks of the tokenizer at path, as little-endian ids; new words are encoded by the library itself."""
-    if path not in _STATE:
-        split = Splitter(path)
-        letter = {c: b for b, c in enumerate(split_letters())}
-
-        def fill(ws: list[str]) -> list[bytes]:
-            # ASCII letters stand for themselves
-            plain = [w if w.isascii() or w in split.special else bytes(map(letter.__getitem__, w)).decode() for w in ws]
-            return [np.array(e.ids, dtype="<u4").tobytes() for e in split.tokenizer.encode_batch_fast(plain, add_special_tokens=False)]
-
-        _STATE[path] = Chunks(split, fill, b"".join)
-    return _STATE[path]
-
-
-def split_letters() -> list[str]:
-    from .pieces import byte_letters
-
-    return byte_letters()
+def encoder(tokenizer: str) -> tuple[Splitter, Values]:
+    """Words and their values, ids as little-endian bytes."""
+    split = Splitter(tokenizer)
+    merged = Encoder(split)
+    return split, Values(lambda ws: [array("I", ids).tobytes() for ids in merged(ws)])
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = 2, shard_chars: int = 48 << 20, roll: int = 64 << 20) -> DataFrame:
     """Writes docs (doc_id, text) below folder in ascending doc_id; the manifest. tokenizer: a path that every executor has."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    _, n, cells = shards.plan(rows.select("doc_id", F.octet_length("text").alias("n")), "doc_id", F.col("n") + 64, shard_chars)
+    n, cells = shards.plan(rows.select("doc_id", F.octet_length("text").alias("n")), "doc_id", F.col("n") + 64, shard_chars)
     dealt = shards.deal(rows, "doc_id", cells, n).sortWithinPartitions("shard", "doc_id", "text")
     end = np.array([] if end_id is None else [end_id], dtype="<u4")
     schema = pa.schema([("file", pa.string()), ("shard", pa.int32()), ("part", pa.int32()), ("documents", pa.int64()), ("ids", pa.int64()), ("bytes", pa.int64())])
 
     def put(batches):
-        chunks = library_chunks(tokenizer)
-        bits = bits_for(max(chunks.splitter.tokenizer.get_vocab_size(), (end_id or 0) + 1))
+        split, values = Kept.get(tokenizer, lambda: encoder(tokenizer))
+        bits = bits_for(max(split.tokenizer.get_vocab_size(), (end_id or 0) + 1))
         out, shard, part = None, None, 0
         row = lambda: pa.RecordBatch.from_pylist([out.close() | {"shard": shard, "part": part}], schema=schema)
-        for batch in batches:
-            at, ids, texts = (batch.column(c).to_pylist() for c in ("shard", "doc_id", "text"))
-            i = 0
-            for group in in_groups(texts):
-                for values in chunks.values(group):
-                    if out and (at[i] != shard or out.file.size >= roll):
-                        yield row()
-                        part, out = (part + 1 if at[i] == shard else 0), None
-                    if out is None:
-                        shard = at[i]
-                        out = Writer(folder, f"ids-{shard:05d}-{part:05d}.bin", bits)
-                    out.add(ids[i], np.concatenate([np.frombuffer(b"".join(values), dtype="<u4"), end]))
-                    i += 1
-        if out:
-            yield row()
-
-    dealt.mapInArrow(put, MANIFEST).write.parquet(f"{folder}/manifest")
+        try:
+            for batch in batches:
+                at, doc_ids, texts = (batch.column(c).to_pylist() for c in ("shard", "doc_id", "text"))
+                i = 0
+                for some in in_groups(texts):
+                    group = split.group(some)
+                    ids, upto = gathered(values.of(group.words), group)
+                    for a, b in zip([0, *upto.tolist()], upto.tolist(), strict=False):
+                        if out and (at[i] != shard or out.file.size >= roll):
+                            whole, out = row(), None
+                            yield whole
+                            part = part + 1 if at[i] == shard else 0
+                        if out is None:
+                            shard = at[i]
+                            out = Writer(folder, f"ids-{shard:05d}-{part:05d}.bin", bits)
+                        out.add(doc_ids[i], np.concatenate([ids[a:b], end]))
+                        i += 1
+            if out:
+                whole, out = row(), None
+                yield whole
+        finally:
+            if out:  # the task has failed
+                out.file.abort()
+
+    mapped(dealt, put, MANIFEST, "token-files").write.parquet(f"{folder}/manifest")
     return docs.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
@@ -208,4 +202,4 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                     )
                     i = j
 
-    return first.repartition(max(1, min(first.count(), 4096)), "file").mapInArrow(get, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return mapped(first.repartition(max(1, first.count()), "file"), get, "doc_id long, start long, n_tokens long, ids_crc32 long", "token-files")
