@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 from pyarrow import fs
@@ -14,7 +15,8 @@ def at(uri: str) -> tuple[fs.FileSystem, str]:
 class Committed:
     """A file that is written under a temporary name of its own and gets its final name when it is whole.
 
-    A task that runs twice, or at the same time as its twin, renames equal bytes to the same name.
+    A task that runs twice, or at the same time as its twin, makes equal bytes for the same name: where a store does not
+    rename onto a name that is there, the file that is there stays.
     """
 
     def __init__(self, folder: str, name: str):
@@ -29,8 +31,16 @@ class Committed:
 
     def commit(self) -> None:
         self.out.close()
-        self.fs.move(self.temp, self.final)
+        try:
+            self.fs.move(self.temp, self.final)
+        except OSError:
+            there = self.fs.get_file_info(self.final)
+            if there.type != fs.FileType.File or there.size != self.size:
+                raise
+            self.fs.delete_file(self.temp)
 
     def abort(self) -> None:
+        """The file is not to be: nothing of it stays."""
         self.out.close()
-        self.fs.delete_file(self.temp)
+        with contextlib.suppress(OSError):
+            self.fs.delete_file(self.temp)

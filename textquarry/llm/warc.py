@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import files, shards
-from .common import new_path
+from .common import mapped, new_path
 
 DATE = "2000-01-01T00:00:00Z"
 MANIFEST = "file string, shard int, records long, bytes long, sha256 string"
@@ -77,7 +77,7 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = 64 << 20, roll: int
         again.select("page_id", F.lit(0).alias("kind"), "sha", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "first")
     )
     sized = rows.select("page_id", F.octet_length("html").alias("n"))
-    _, n, cells = shards.plan(sized, "page_id", F.col("n") + 500, shard_bytes)
+    n, cells = shards.plan(sized, "page_id", F.col("n") + 500, shard_bytes)
     dealt = shards.deal(both, "page_id", cells, n).sortWithinPartitions("shard", "page_id", "sha", "kind", "url")
 
     def put(batches):
@@ -87,28 +87,33 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = 64 << 20, roll: int
             out.commit()
             return pa.RecordBatch.from_pylist([{"file": out.final.rsplit("/", 1)[1], "shard": shard, "records": records, "bytes": out.size, "sha256": sha.hexdigest()}], schema=manifest)
 
-        for batch in batches:
-            for at, page_id, kind, key, url, text, first in zip(*(batch.column(c).to_pylist() for c in ("shard", "page_id", "kind", "sha", "url", "html", "first")), strict=True):
-                if page_id != page:
-                    note, page = {}, page_id
-                if kind == 0:
-                    note[key] = first
-                    continue
-                if out and (at != shard or out.size >= roll):
-                    yield close()
-                    out = None
-                if out is None:
-                    k, shard, records, sha = (k + 1 if at == shard else 0), at, 0, hashlib.sha256()
-                    out = files.Committed(folder, f"part-{at:05d}-{k:05d}.warc.gz")
-                member = _gzip(record(page_id, url, text.encode(), note.get(key)))
-                sha.update(member)
-                out.write(member)
-                records += 1
-        if out:
-            yield close()
+        try:
+            for batch in batches:
+                for at, page_id, kind, key, url, text, first in zip(*(batch.column(c).to_pylist() for c in ("shard", "page_id", "kind", "sha", "url", "html", "first")), strict=True):
+                    if page_id != page:
+                        note, page = {}, page_id
+                    if kind == 0:
+                        note[key] = first
+                        continue
+                    if out and (at != shard or out.size >= roll):
+                        whole, out = close(), None
+                        yield whole
+                    if out is None:
+                        k, shard, records, sha = (k + 1 if at == shard else 0), at, 0, hashlib.sha256()
+                        out = files.Committed(folder, f"part-{at:05d}-{k:05d}.warc.gz")
+                    member = _gzip(record(page_id, url, text.encode(), note.get(key)))
+                    sha.update(member)
+                    out.write(member)
+                    records += 1
+            if out:
+                whole, out = close(), None
+                yield whole
+        finally:
+            if out:  # the task has failed
+                out.abort()
 
     manifest = pa.schema([("file", pa.string()), ("shard", pa.int32()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())])
-    dealt.mapInArrow(put, MANIFEST).write.parquet(f"{folder}/manifest")
+    mapped(dealt, put, MANIFEST, "warc").write.parquet(f"{folder}/manifest")
     return read_manifest(pages.sparkSession, folder)
 
 
@@ -169,7 +174,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     listed = read_manifest(spark, folder)
-    return listed.repartition(max(1, min(listed.count(), 4096)), "file").mapInArrow(get, RECORD)
+    return mapped(listed.repartition(max(1, listed.count()), "file"), get, RECORD, "warc")
 
 
 def new_folder(spark: SparkSession) -> str:
