@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.compare import same_as_sql
-from textquarry.llm import bpe, chat, langid, lexicon, minhash, mixing, pieces, pii, pq, quality, queries, tokenfile, warc
+from textquarry.llm import bpe, chat, files, langid, lexicon, minhash, mixing, pieces, pii, pq, quality, queries, shards, tokenfile, warc
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -195,6 +195,21 @@ def test_viterbi(rows, penalty):
     assert cost(langid.viterbi(s, penalty)) == max(map(cost, product(range(3), repeat=len(rows))))
 
 
+@pytest.mark.parametrize("languages", [1, 2, 3, 4])
+def test_viterbi_on_paths_that_switch(languages):
+    from itertools import product
+
+    assert languages < 3 or langid.viterbi(np.array([[-4, 0, -9], [-4, -9, 0]], dtype=float), 5.0).tolist() == [1, 2]
+    rng = np.random.default_rng(languages)
+    for _ in range(1500):
+        n, penalty = rng.integers(1, 7), float(rng.integers(0, 8))
+        # each word has a language of its own that it favours by about one penalty
+        s = -rng.integers(0, 4, (n, languages)).astype(float)
+        s[np.arange(n), rng.integers(0, languages, n)] += rng.integers(0, 9)
+        cost = lambda p: sum(s[i, k] for i, k in enumerate(p)) - penalty * sum(a != b for a, b in zip(p, p[1:]))
+        assert cost(langid.viterbi(s, penalty)) == max(map(cost, product(range(languages), repeat=n)))
+
+
 def test_near_copies(spark, texts, odd):
     big = " ".join(f"w{i}" for i in range(300))
     rows = [(i, big.replace(f"w{i % 290} ", "x ")) for i in range(700)] + [(1000 + i, big) for i in range(700)] + list(texts.items())[:0]
@@ -316,19 +331,38 @@ def test_bpe(spark, texts, odd, library):
     assert bpe.encode(odd.limit(0), VOCABULARY, ["doc_id"]).count() == 0
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.lists(st.text(min_size=1, max_size=12).filter(lambda t: WORD.fullmatch(t)), max_size=6))
-def test_words_of_chunks(chunks):
-    split = test_words_of_chunks.__dict__.setdefault("split", pieces.Splitter(VOCABULARY))
-    assert split.many(chunks) == [split(c) for c in chunks]
+PARTS = ["a", "B", "'", "s", "t", "re", "ve", "ll", "M", "d", " ", "  ", "\n", "\t", "0", "12", "!", ".", "-", "\u0130", "\u0327", "\u0301", "é", "À", "ſ", "ß", "×", "日本", "ａ", "\xa0", "\x1c", "\x7f", "<|endoftext|>", "<|", "привет", "ﬁ", "👍"]
+
+
+@pytest.fixture(scope="module")
+def encoders():
+    return tokenfile.encoder(VOCABULARY)
+
+
+@settings(max_examples=1500, deadline=None)
+@given(texts=st.lists(st.one_of(st.lists(st.sampled_from(PARTS), max_size=14).map("".join), st.text(max_size=14)), max_size=5))
+def test_ids_are_those_of_the_library(library, encoders, texts):
+    split, values = encoders
+    group = split.group(texts)
+    assert len(set(group.words)) == len(group.words) and group.counts().sum() == len(group.codes)
+    ids, upto = pieces.gathered(values.of(group.words), group)
+    assert [ids[a:b].tolist() for a, b in zip([0, *upto], upto)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_groups_and_values():
+    assert [len(g) for g in pieces.in_groups(["aaa", "bb", "", "cccc"], 5)] == [2, 2] and list(pieces.in_groups([])) == []
+    asked = []
+    values = pieces.Values(lambda ws: [asked.append(w) or len(w) for w in ws], most=3)
+    assert [values.of(ws) for ws in (["a", "bb"], ["bb", "ccc"], ["a", "dddd"], ["dddd"])] == [[1, 2], [2, 3], [1, 4], [4]]
+    assert asked == ["a", "bb", "ccc", "dddd"]
 
 
 @settings(max_examples=100, deadline=None)
 @given(st.sets(st.binary(min_size=1, max_size=6), max_size=30), st.sets(st.binary(max_size=6), max_size=10))
 def test_lexicon(tmp_path_factory, known, asked):
     words = sorted(known)
-    path = str(tmp_path_factory.mktemp("lexicon") / "x")
-    lexicon.build(words, [[i, len(w)] for i, w in enumerate(words)], path)
+    path = tmp_path_factory.mktemp("lexicon") / "x"
+    path.write_bytes(lexicon.build(words, [[i, len(w)] for i, w in enumerate(words)]))
     lex, ask = lexicon.Lexicon(path), [*words, *asked]
     assert [lex.outputs(k) if k >= 0 else None for k in lex.numbers(ask).tolist()] == [[words.index(w), len(w)] if w in known else None for w in ask]
 
@@ -369,3 +403,46 @@ def test_pipeline(spark, texts, library):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+@pytest.mark.parametrize("keys", [[*range(19_999), 2**62], [-(2**63), 2**63 - 1, *range(5000), *range(10**12, 10**12 + 5000)], [7] * 300 + [*range(100)], [None, None, 3], [5] * 40])
+def test_shards_are_even_whatever_the_keys(spark, keys):
+    df = spark.createDataFrame([(k, 0) for k in keys], "key long, shard_ int")
+    n, cells = shards.plan(df, "key", F.lit(1), 100)
+    rows = [(r["key"], r["shard"], r["_part"]) for r in shards.deal(df, "key", cells, n).withColumn("_part", F.spark_partition_id()).collect()]
+    assert sorted(map(str, keys)) == sorted(str(k) for k, _, _ in rows) and len({(s, p) for _, s, p in rows}) == len({s for _, s, _ in rows})
+    own = sorted((k, s) for k, s, _ in rows if k is not None)
+    assert [s for _, s in own] == sorted(s for _, s in own)
+    of = defaultdict(Counter)
+    for k, s in own:
+        of[s][k] += 1
+    # a shard is over its weight only by the rows of one key, and two neighbours could not be one
+    assert all(sum(c.values()) <= 100 or len(c) == 1 for c in of.values())
+    assert all(sum(of[s].values()) + sum(of[s + 1].values()) > 100 for s in range(n - 1))
+    assert shards.plan(df.repartition(7), "key", F.lit(1), 100) == (n, cells)
+
+
+def test_files_keep_the_whole_one(tmp_path):
+    a, b = files.Committed(f"file://{tmp_path}", "x"), files.Committed(f"file://{tmp_path}", "x")
+    c = files.Committed(f"file://{tmp_path}", "y")
+    for f in (a, b, c):
+        f.write(b"abc")
+    a.commit()
+
+    class Strict:  # a store that does not rename onto a name that is there
+        def __init__(self, fs):
+            self.fs = fs
+
+        def move(self, *_):
+            raise OSError("there is a file")
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+    b.fs, c.fs = Strict(b.fs), Strict(c.fs)
+    b.commit()
+    with pytest.raises(OSError):
+        c.commit()
+    d = files.Committed(f"file://{tmp_path}", "z")
+    d.abort()
+    assert (tmp_path / "x").read_bytes() == b"abc" and not (tmp_path / "z").exists()
