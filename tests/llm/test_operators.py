@@ -446,3 +446,66 @@ def test_files_keep_the_whole_one(tmp_path):
     d = files.Committed(f"file://{tmp_path}", "z")
     d.abort()
     assert (tmp_path / "x").read_bytes() == b"abc" and not (tmp_path / "z").exists()
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_rows(spark, docs, stage):
+    names = ["score", "lang_pred", "_size", "_copy", "row", "size", "component_id", "_lang_pred", "n_tokens", "copies"]
+    plain = docs.filter("doc_id >= 100").orderBy("doc_id").limit(60).select("doc_id", "text", "lang", "source", "n_chars")
+    odd = spark.createDataFrame(ODD, DOCS).unionByName(plain)
+    for i, name in enumerate(names):
+        odd = odd.withColumn(name, F.concat(F.lit(f"{i}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    assert stage(spark, odd.limit(0), SF).count() == 0
+    assert stage(spark, odd.withColumn("text", F.lit(None).cast("string")), SF).count() == {"language": 0, "mixture": 0}.get(stage.__name__, len(ODD) + 60)
+    assert stage(spark, odd.withColumn("lang", F.lit(None).cast("string")), SF).count() >= (stage.__name__ != "language")
+    rows = stage(spark, odd, SF).collect()
+    ids = Counter(r["doc_id"] for r in rows)
+    if stage.__name__ == "encoding":
+        assert len(rows) == len(ODD) + 60 and ids[6] == 2 and ids[None] == 1
+        return
+    assert rows[0].asDict().keys() == dict.fromkeys(odd.columns).keys()
+    assert all(r[n] == f"{i}:{'null' if r['doc_id'] is None else r['doc_id']}" for r in rows for i, n in enumerate(names))
+    if stage.__name__ == "language":
+        assert not ids.keys() & {2, 3, 4} and ids[6] == 2 and ids[1] and all(r["lang"] for r in rows)
+    elif stage.__name__ == "near_copies":
+        assert [ids[k] for k in (2, 3, 4, 5, 6, None, 8, 9)] == [1, 1, 1, 1, 0, 1, 1, 1]
+    elif stage.__name__ == "personal_data":
+        assert len(rows) == len(ODD) + 60 and all(r["n_chars"] == len(r["text"]) for r in rows if r["text"])
+        assert {r["text"] for r in rows if r["doc_id"] in (2, 3, 4)} == {None, "", " \t\n "}
+    else:
+        assert not ids.keys() & {2, 3, 4} and max(ids.values()) <= 6
+
+
+def test_large_clusters_lose_no_link(spark):
+    """Two dense groups of several blocks, a chain between them, and texts on their own, beside brute force."""
+    rng = np.random.default_rng(3)
+    base = [[f"w{g}x{i}" for i in range(120)] for g in range(2)]
+    texts = []
+    for k in range(1500):
+        ws = list(base[k % 2])
+        ws[rng.integers(0, 120)] = f"y{k}"
+        texts.append(ws)
+    mixed = list(base[0])
+    for i in range(0, 120, 4):  # step by step from one group to the other
+        mixed[i : i + 4] = base[1][i : i + 4]
+        texts.append(list(mixed))
+    rows = [(i, " ".join(ws)) for i, ws in enumerate(texts)]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    sets = [np.array(sorted({hash(tuple(ws[i : i + 3])) for i in range(len(ws) - 2)})) for ws in texts]
+    up = list(range(len(sets)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    owner, index = {}, defaultdict(list)
+    for i, s in enumerate(sets):
+        common = Counter(j for g in s.tolist() for j in index[g])
+        for j, k in common.items():
+            if 100 * k >= 85 * (len(s) + len(sets[j]) - k):
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+        for g in s.tolist():
+            index[g].append(i)
+    assert got == {i: root(i) for i in range(len(sets))} and max(Counter(got.values()).values()) > 512

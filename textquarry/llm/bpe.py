@@ -33,7 +33,7 @@ from .pieces import Encoder, Splitter, Values, gathered, in_groups
 LEXICON_SIZE = 65_536
 
 
-def count_words(texts: DataFrame, tokenizer: str, most: int = 200_000) -> DataFrame:
+def count_words(texts: DataFrame, tokenizer: str, most: int = 100_000) -> DataFrame:
     """(word, n): every word of column `text` of all rows, in byte letters. Tasks count `most` words or so before the shuffle."""
 
     def count(batches):

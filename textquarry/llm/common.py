@@ -45,11 +45,42 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_MADE: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage ends there, and lost executors cost no rows."""
-    path = new_path(df.sparkSession, name)
+    spark = limited(df.sparkSession)
+    path = new_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    for made in _MADE:
+        made.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """The tables that `written` makes inside are removed at its end: what was made of them must be saved by then."""
+    made: list[str] = []
+    _MADE.append(made)
+    try:
+        yield
+    finally:
+        _MADE.remove(made)
+        for path in made:
+            removed(spark, path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def free(name: str, taken: list[str]) -> str:
+    """The name, with as many underscores in front as no other column has."""
+    while name.lower() in {t.lower() for t in taken}:
+        name = "_" + name
+    return name
 
 
 class Kept:
@@ -85,15 +116,21 @@ class Kept:
             ctypes.CDLL(None).malloc_trim(0)
 
 
-#: Bytes of one batch of rows that a Python worker gets, unless the session says otherwise. A longer row is a batch of its own.
-BATCH_BYTES = 8 << 20
+#: Rows may be long texts: bytes of one batch that a Python worker gets, and rows that a scan holds at once, unless the
+#: session says otherwise. A longer row is a batch of its own.
+LIMITS = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.parquet.columnarReaderBatchSize": "512"}
+
+
+def limited(spark: SparkSession) -> SparkSession:
+    for key, value in LIMITS.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+    return spark
 
 
 def mapped(df: DataFrame, work: Callable, schema: str, owner: str) -> DataFrame:
     """df.mapInArrow(work, schema) in batches that are bounded in bytes, by workers that keep nothing of another owner."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if conf.get(key, None) is None:
-        conf.set(key, str(BATCH_BYTES))
+    limited(df.sparkSession)
 
     def bounded(batches):
         Kept.enter(owner)

@@ -61,18 +61,18 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component): for every node of edges (u, v) the smallest node it reaches. Nodes without edges have no row.
 
     Large-star and small-star steps in turn until the edges stay as they are: the rounds grow with the logarithm of
-    the graph. A step is a minimum per node, counted before the shuffle, joined back to the edges; a node with very
-    many edges is a skewed key of a plain join, which adaptive execution splits.
+    the graph. A step is a minimum per node, taken in each task before the shuffle and written, and joined back to the
+    edges. Both sides of that join are scans, so adaptive execution can split the rows of a node with very many edges.
     """
     e = written(forests(edges), "edges")
     mark = lambda x: tuple(x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = mark(e)
     while before[0]:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = written(large, "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
         after = mark(e)

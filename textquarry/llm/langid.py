@@ -5,8 +5,8 @@ ends included) under that language's smoothed counts. Languages that never used
 candidates. The best path over a text's words, where each change of language costs `penalty`, gives spans; a text's
 language is the one with most letters, and the score is its share of letters times how sure its words are.
 
-The model is fitted on at most `per_language` labelled texts of each language, those with the smallest hash of their
-id: a documented bound. Everything else, and every text whole, is labelled by tasks that share nothing.
+The model is fitted on about `per_language` labelled texts of each language, those whose id's hash is below a threshold:
+a documented bound. Everything else, and every text whole, is labelled by tasks that share nothing.
 
 A null text, or one without a letter, is `und` with score 0. Without labelled texts every text is `und`. Null ids and
 labels, repeated rows and extra columns are allowed; ties go to the language that sorts first.
@@ -21,7 +21,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Kept, mapped
@@ -178,16 +178,14 @@ def _label(ws: list[str], words: Words, penalty: float, at=None) -> tuple[str, f
 
 
 def sample(docs: DataFrame, train: Column, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """(lang, text) of the fit: of each language the rows for which `train` holds with the smallest hash of their id, whole.
+    """(lang, text) of the fit: of the rows for which `train` holds, about per_language different texts of each language, whole.
 
-    Ids and labels alone are ranked; per-task ranks cut them before they meet, and at most per_language ids of a
-    language go to all tasks that read texts.
+    They are those whose id's hash is below a threshold of their language, so no task meets all rows of a language.
     """
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = docs.filter(train & F.col("lang").isNotNull()).select("lang", "doc_id").withColumn("rank", rank).filter(F.col("rank") <= per_language)
-    ids = [r[0] for r in chosen.select("doc_id").distinct().collect()]
-    wanted = docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")
-    return docs.filter(train & F.col("lang").isNotNull()).select("doc_id", "lang", "text").join(F.broadcast(wanted), "doc_id", "left_semi").select("lang", "text")
+    labelled = docs.filter(train & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
+    share = labelled.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("share"))  # a row per language
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    return labelled.join(F.broadcast(share), "lang").filter(draw < F.col("share")).select("lang", "text").distinct()
 
 
 def train(docs: DataFrame, which: Column, per_language: int = PER_LANGUAGE) -> dict:
@@ -195,8 +193,13 @@ def train(docs: DataFrame, which: Column, per_language: int = PER_LANGUAGE) -> d
     return fit(rows)
 
 
-def predict(docs: DataFrame, model: dict, keep: list[str], penalty: float = PENALTY, spans: bool = False) -> DataFrame:
-    """Columns `keep` of docs, lang_pred, score and, if asked for, spans array<struct<start, end, lang>>."""
+def predict(docs: DataFrame, model: dict, keep: list[str], penalty: float = PENALTY, spans: bool = False, names: tuple[str, ...] = ("lang_pred", "score", "spans")) -> DataFrame:
+    """Columns `keep` of docs and, under `names`, lang_pred, score and, if asked for, spans array<struct<start, end, lang>>.
+
+    They replace kept columns of their names.
+    """
+    names = names[: 2 + spans]
+    keep = [c for c in keep if c not in names]
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most GRAMS n-grams per language
     rows = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(keep)], docs["text"].alias("text"))
     key = uuid.uuid4().hex  # of this model in these tasks
@@ -216,5 +219,4 @@ def predict(docs: DataFrame, model: dict, keep: list[str], penalty: float = PENA
             yield pa.RecordBatch.from_arrays([*(batch.column(f"k{i}") for i in range(len(keep))), *out], [*(f"k{i}" for i in range(len(keep))), "lang_pred", "score", *(["spans"] if spans else [])])
 
     schema = ", ".join([*(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)), "lang_pred string, score double" + ", spans array<struct<start:int,end:int,lang:string>>" * spans])
-    names = [*keep, "lang_pred", "score", *(["spans"] if spans else [])]
-    return mapped(rows, work, schema, "language").toDF(*names)
+    return mapped(rows, work, schema, "language").toDF(*keep, *names)

@@ -6,9 +6,11 @@
 2. Documents with equal sets are one class; its smallest id stands for it from here on.
 3. A bucket links its members to its smallest, so m members give m - 1 edges. The components of these edges are
    clusters of candidates: every pair that shares a bucket is in one.
-4. Clusters are confirmed on the full sets: within a cluster, blocks of at most BLOCK documents are compared by an
-   inverted index, pair of blocks by pair of blocks, each in its own group. A group gives out a spanning forest of the
-   links that it finds, never its pairs. All links between members of a cluster are found, whichever buckets they share.
+4. Clusters are confirmed on the full sets: blocks of at most about BLOCK documents are compared by an inverted index,
+   pair of blocks by pair of blocks, each in its own group, which gives out a spanning forest of the links that it
+   finds, never its pairs. In a cluster of several blocks, PIVOTS members meet all others first: links within the largest
+   group that this makes change nothing, so only members outside of it then meet all blocks. All links between members of
+   a cluster count, whichever buckets they share. A cluster whose members are far from all pivots costs all its pairs.
 5. The components of those links are the answer.
 
 Bands and rows follow from the threshold J, so that two sets at it share no band with probability MISS at most: 24 bands
@@ -27,13 +29,13 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Kept, filtered_join, mapped, words, written
 from .components import Forest, components
 
-MISS, BLOCK = 1.25e-5, 512
+MISS, BLOCK, PIVOTS = 1.25e-5, 512, 8
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -190,29 +192,61 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     center = buckets.groupBy("bucket").agg(F.min("doc_id").alias("center"), F.count("*").alias("n")).filter("n > 1").drop("n")
     star = buckets.join(center, "bucket").filter(F.col("doc_id") != F.col("center")).select(F.col("doc_id").alias("u"), F.col("center").alias("v"))
     clusters = written(components(star), "clusters")
-    # blocks: a document's block within its cluster is a hash of its id, of as many as the cluster's size asks for
-    sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = clusters.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
-    placed = written(placed.select(F.col("node").alias("id"), F.col("component").alias("cluster"), "blocks", "block"), "blocks")
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    # texts outside of all clusters, nearly all of them, are held back before the shuffle
-    found = texts.join(placed.filter("blocks > 0"), texts["doc_id"] == placed["id"])
-    # block k stands left in the pairs (k, k..), and right in the pairs (..k-1, k)
-    pair = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda k: F.struct(F.least(k, F.col("block")).alias("a"), F.greatest(k, F.col("block")).alias("b"), F.when(k < F.col("block"), 1).otherwise(0).alias("side")),
-    )
-    members = found.select("cluster", "doc_id", "text", F.explode(pair).alias("p")).select("cluster", "p.a", "p.b", "p.side", "doc_id", "text")
-    with filtered_join(spark, placed.count()):
-        links = written(confirm(members, size, percent, parts), "links")
-    labels = components(links)
+    labels = components(written(confirmed(texts, clusters, size, percent, parts), "confirmed"))
     # nodes are the classes' smallest ids; every row finds its class by its set
-    by_set = classes.join(labels, classes["rep"] == labels["node"], "left").select("set_hash", F.coalesce("component", "rep").alias("_component"))
+    by_set = classes.join(labels, classes["rep"] == labels["node"], "left").select(F.col("set_hash").alias("_set"), F.coalesce("component", "rep").alias("_component"))
     by_set = written(by_set, "by-set")
-    out = sketched.join(by_set, "set_hash", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("_component")).otherwise(F.col("doc_id"))
-    component = F.when(F.col("doc_id").isNotNull(), component)
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
+    # rows without a set have no class, and would all be one key of the join
+    some = sketched.filter("n_shingles > 0").join(by_set, F.col("set_hash") == F.col("_set"), "left").select("doc_id", "n_shingles", "_component")
+    none = sketched.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("_component"))
+    component = F.when(F.col("doc_id").isNotNull(), F.col("_component"))
+    return some.unionByName(none).select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
+
+
+def confirmed(texts: DataFrame, clusters: DataFrame, size: int, percent: int, parts: int) -> DataFrame:
+    """Edges (u, v) that span all links between members of a cluster, of texts (doc_id, text) and clusters (node, component)."""
+    spark = texts.sparkSession
+    sizes = clusters.groupBy("component").agg(F.count("*").alias("members")).withColumnRenamed("component", "cluster")
+    placed = clusters.join(sizes, F.col("component") == F.col("cluster")).select(F.col("node").alias("id"), "cluster", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    placed = written(placed.withColumn("block", _block("id", "blocks")), "blocks")
+
+    def members(wanted: DataFrame) -> DataFrame:
+        """The texts of wanted (id, cluster, pairs): a row for each pair of blocks that a text is in."""
+        wanted = written(wanted.select("id", "cluster", "pairs"), "pairs")
+        # texts outside of all clusters, nearly all of them, are held back before the shuffle
+        with filtered_join(spark, wanted.count()):
+            found = texts.join(wanted, texts["doc_id"] == wanted["id"]).select("cluster", "doc_id", "text", F.explode("pairs").alias("p"))
+            return written(confirm(found.select("cluster", "p.a", "p.b", "p.side", "doc_id", "text"), size, percent, parts), "links")
+
+    pair = lambda a, b, side: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"), F.lit(side).alias("side"))
+    links = members(placed.filter("blocks = 1").withColumn("pairs", F.array(pair(F.lit(0), F.lit(0), 0))))
+    large = placed.filter("blocks > 1")
+    if large.isEmpty():
+        return links
+    # PIVOTS members of a large cluster, by a hash of their ids, meet all of its blocks: each text moves once, a pivot once per block
+    rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.xxhash64("id"), "id"))
+    pivot = large.withColumn("rank", rank).filter(F.col("rank") <= PIVOTS)
+    as_pivot = pivot.withColumn("pairs", F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: pair(F.lit(-1), k, 0)))
+    as_member = large.withColumn("pairs", F.array(pair(F.lit(-1), F.col("block"), 1)))
+    near = members(as_pivot.select("id", "cluster", "pairs").unionByName(as_member.select("id", "cluster", "pairs")))
+    # links within the largest group of a cluster change nothing; of all others one end at least is outside of it
+    groups = large.join(components(near), F.col("id") == F.col("node"), "left").select("id", "cluster", "blocks", "block", F.coalesce("component", "id").alias("group"))
+    groups = written(groups, "pivot-groups")
+    largest = groups.groupBy("cluster", "group").count().groupBy("cluster").agg(F.max_by("group", F.struct("count", "group")).alias("_largest")).withColumnRenamed("cluster", "_cluster")
+    apart = groups.join(written(largest, "largest"), F.col("cluster") == F.col("_cluster")).filter(F.col("group") != F.col("_largest")).select("id", "cluster", "blocks")
+    apart = written(apart, "apart")
+    counts = written(apart.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("others")).withColumnRenamed("cluster", "_cluster"), "apart-blocks")
+    # those outside, in blocks of their own numbered -1, -2, .., meet all blocks of the cluster
+    outside = apart.join(counts, F.col("cluster") == F.col("_cluster")).withColumn("own", _block("id", "others"))
+    outside = outside.withColumn("pairs", F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: pair(-1 - F.col("own"), k, 0)))
+    inside = large.join(counts, F.col("cluster") == F.col("_cluster")).withColumn("pairs", F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda k: pair(-1 - k, F.col("block"), 1)))
+    far = members(outside.select("id", "cluster", "pairs").unionByName(inside.select("id", "cluster", "pairs")))
+    return links.unionByName(near).unionByName(far)
+
+
+def _block(of: str, blocks: str):
+    return F.pmod(F.xxhash64(of), F.col(blocks).cast("long")).cast("int")
 
 
 def drop_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -220,10 +254,13 @@ def drop_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
     Groups are of rows, told apart by numbers of their own, so repeated ids and null ids are like any others.
     """
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    ids = rows.select("_row", rows["doc_id"].cast("long").alias("_id"))
-    groups = near_copies(rows.select(F.col("_row").alias("doc_id"), "text"), size, percent).select(F.col("doc_id").alias("_of"), "component_id")
-    placed = written(groups.join(ids, groups["_of"] == ids["_row"]).select("_row", "_id", "component_id"), "row-groups")
-    stays = placed.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("first")).select(F.col("first._row").alias("_stays"))
-    dropped = written(placed.join(stays, placed["_row"] == stays["_stays"], "left_anti").select(F.col("_row").alias("_dropped")), "dropped")
-    return rows.join(dropped, rows["_row"] == dropped["_dropped"], "left_anti").drop("_row")
+    names = docs.columns
+    rows = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    doc_id, text = (f"c{names.index(c)}" for c in ("doc_id", "text"))
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    ids = rows.select("row", F.col(doc_id).cast("long").alias("id"))
+    groups = near_copies(rows.select(F.col("row").alias("doc_id"), F.col(text).alias("text")), size, percent).select(F.col("doc_id").alias("_of"), "component_id")
+    placed = written(groups.join(ids, groups["_of"] == ids["row"]).select("row", "id", "component_id"), "row-groups")
+    stays = placed.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")).select(F.col("first.row").alias("_stays"))
+    dropped = written(placed.join(stays, placed["row"] == stays["_stays"], "left_anti").select(F.col("row").alias("_dropped")), "dropped")
+    return rows.join(dropped, rows["row"] == dropped["_dropped"], "left_anti").drop("row").toDF(*names)

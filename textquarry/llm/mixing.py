@@ -85,7 +85,7 @@ def takes(sized: DataFrame, weights=WEIGHTS, share: float = 1.0, cap: float = CA
     goal = targets(units.select("source", (F.col("size") * F.col("n")).alias("size")), weights, share, cap).withColumnRenamed("source", "_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     with_goal = units.join(goal, units["source"].eqNullSafe(goal["_source"])).drop("_source").withColumn("rate", F.least(rate, F.lit(float(cap))))
-    base = with_goal.withColumn("base", F.floor("rate").cast("int")).withColumn("p", F.when(F.col("size") > 0, F.col("rate") - F.floor("rate")).otherwise(F.lit(0.0)))
+    base = with_goal.withColumn("base", F.when(F.col("size") > 0, F.floor("rate").cast("int")).otherwise(F.lit(0))).withColumn("p", F.when(F.col("size") > 0, F.col("rate") - F.floor("rate")).otherwise(F.lit(0.0)))
     base = written(base, "rates")
     unit = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("size").alias("size"))
     level = base.filter((F.col("p") > 0) & (F.col("p") < 1)).select(unit.alias("unit"), (F.col("size") * F.col("n")).cast("double").alias("mass"), "p")
@@ -126,9 +126,13 @@ def takes(sized: DataFrame, weights=WEIGHTS, share: float = 1.0, cap: float = CA
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """docs with every row as often as the mix takes it (0 to 3 times), columns as they were."""
-    sized = docs.withColumn("_size", n_words())
-    took = takes(sized.select("doc_id", "source", F.col("_size").alias("size")), **how)
+    """docs with every row as often as the mix takes it (0 to 3 times), columns as they were, whatever their names."""
+    names = docs.columns
+    rows = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    doc_id, source, text = (f"c{names.index(c)}" for c in ("doc_id", "source", "text"))
+    sized = rows.withColumn("size", n_words(text))
+    took = takes(sized.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), "size"), **how)
     took = took.filter("copies > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "copies")
-    same = sized["doc_id"].eqNullSafe(took["_d"]) & sized["source"].eqNullSafe(took["_s"]) & (sized["_size"] == took["_z"])
-    return sized.join(took, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), took["copies"]))).select(*[docs[c] for c in docs.columns])
+    same = sized[doc_id].eqNullSafe(took["_d"]) & sized[source].eqNullSafe(took["_s"]) & (sized["size"] == took["_z"])
+    copies = sized.join(took, same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return copies.select(*rows.columns).toDF(*names)

@@ -147,14 +147,18 @@ class Encoder:
         self.special, self.model = splitter.special, Tokenizer(splitter.tokenizer.model)
 
     def __call__(self, ws: list[str]) -> list[list[int]]:
-        made = self.model.encode_batch_fast(ws, add_special_tokens=False)
-        return [e.ids if w not in self.special else [self.special[w]] for w, e in zip(ws, made, strict=True)]
+        out: list[list[int]] = []
+        for i in range(0, len(ws), 4096):  # an encoding holds much more than its ids
+            part = ws[i : i + 4096]
+            made = self.model.encode_batch_fast(part, add_special_tokens=False)
+            out += [e.ids if w not in self.special else [self.special[w]] for w, e in zip(part, made, strict=True)]
+        return out
 
 
 class Values:
     """A value for each word, from the last `most` of them or so; new ones are worked out by fill, many at a time."""
 
-    def __init__(self, fill: Callable[[list[str]], list], most: int = 200_000):
+    def __init__(self, fill: Callable[[list[str]], list], most: int = 60_000):
         self.fill, self.most = fill, most
         self.known: dict[str, object] = {}
 
@@ -180,7 +184,7 @@ def gathered(values: list[bytes], group: Group) -> tuple[np.ndarray, np.ndarray]
     return flat[np.repeat(begin[group.codes] - upto[:-1], of) + np.arange(upto[-1])], upto[group.ends]
 
 
-def in_groups(texts: list[str], chars: int = 6_000_000):
+def in_groups(texts: list[str], chars: int = 4_000_000):
     """Slices of texts of about so many characters."""
     group, size = [], 0
     for t in texts:

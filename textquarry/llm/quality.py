@@ -151,7 +151,8 @@ def judge(text: str | None, lang: str | None, pieces: Pieces, bands=None, langua
 
 
 def rate(docs: DataFrame, vocabulary: str, keep: list[str], lang: str | None = None, bands=None, language_bands=None) -> DataFrame:
-    """Columns `keep` of docs and FIELDS. vocabulary: a path that every executor has; lang: a column, if one is to choose the band."""
+    """Columns `keep` of docs and FIELDS, which replace kept columns of their names. vocabulary: a path that every executor has; lang: a column, if one is to choose the band."""
+    keep = [c for c in keep if c.lower() not in {n for n, _ in FIELDS}]
     rows = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(keep)], docs["text"].alias("text"), *([docs[lang].alias("lang")] if lang else []))
 
     def work(batches):

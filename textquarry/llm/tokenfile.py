@@ -131,7 +131,7 @@ def encoder(tokenizer: str) -> tuple[Splitter, Values]:
     """Words and their values, ids as little-endian bytes."""
     split = Splitter(tokenizer)
     merged = Encoder(split)
-    return split, Values(lambda ws: [array("I", ids).tobytes() for ids in merged(ws)])
+    return split, Values(lambda ws: [array("I", ids).tobytes() for ids in merged(ws)], 150_000)
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = 2, shard_chars: int = 48 << 20, roll: int = 64 << 20) -> DataFrame:
