@@ -139,6 +139,40 @@ def test_vectors(spark):
     assert pq.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_vectors_of_many_dimensions(spark):
+    """Single precision, 64 parts, repeated ids, extra columns: the default probes and the exact ones, beside brute force."""
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(300, 64))
+    x = np.concatenate([base + rng.normal(size=base.shape) * s for s in (0, 0.05, 0.15, 0.22, 0.3)]).astype(np.float32)
+    rows = [(i, [float(v) for v in e], "n_links") for i, e in enumerate(x)] + [(3, [float(v) for v in x[7]], None), (3, [float(v) for v in x[3]], None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, n_links string")
+    y = np.array([e for _, e, _ in rows], dtype=np.float64)
+    y /= np.sqrt((y * y).sum(axis=1, keepdims=True))
+    near = (y @ y.T >= 0.95) & ~np.eye(len(y), dtype=bool)
+    ids, degree = np.array([i for i, _, _ in rows]), near.sum(axis=1)
+    from textquarry.llm.components import least_reachable
+
+    a, b = np.nonzero(near)
+    root = least_reachable(len(x), ids[a], ids[b])
+    want = sorted(zip(ids.tolist(), degree.tolist(), root[ids].tolist()))
+    for exact in (True, False):
+        got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in pq.near_vectors(df, 0.95, exact=exact).collect())
+        assert [(i, c) for i, _, c in got] == [(i, c) for i, _, c in want]
+        assert got == want if exact else sum(n for _, n, _ in got) >= 0.999 * degree.sum()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 19), st.integers(0, 19)), max_size=30))
+def test_least_reachable(edges):
+    from textquarry.llm.components import Forest, least_reachable
+
+    forest = Forest()
+    for a, b in edges:
+        forest.join(a, b)
+    a, b = (np.array([e[k] for e in edges], dtype=np.int64) for k in (0, 1))
+    assert least_reachable(20, a, b).tolist() == [forest.root(i) for i in range(20)]
+
+
 def test_quality(spark, texts, odd):
     for r in queries.op3_quality(spark, SF).collect():
         text = texts[r["doc_id"]]

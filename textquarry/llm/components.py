@@ -35,6 +35,20 @@ class Forest:
         return True
 
 
+def least_reachable(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of each of n nodes the least that it reaches by the edges (a, b): minima over all edges at once, until none changes."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[a], label[b])
+        after = label.copy()
+        np.minimum.at(after, a, least)
+        np.minimum.at(after, b, least)
+        after = after[after]
+        if (after == label).all():
+            return label
+        label = after
+
+
 def forests(edges: DataFrame, most: int = 500_000) -> DataFrame:
     """Fewer edges (u > v) that connect the same nodes: each task keeps a forest, and gives it out when it has `most` nodes."""
 

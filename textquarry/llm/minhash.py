@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Kept, filtered_join, mapped, words, written
-from .components import Forest, components
+from .components import components, least_reachable
 
 MISS, BLOCK, PIVOTS = 1.25e-5, 512, 8
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -124,12 +124,13 @@ def sketch(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def _links(left: list[np.ndarray], right: list[np.ndarray], same: bool, percent: int):
-    """(i, j) of pairs with 100 * intersection >= percent * union; only j > i if both sides are the same."""
+    """Arrays (i, j) of pairs with 100 * intersection >= percent * union; only j > i if both sides are the same."""
     sizes = np.array([len(s) for s in right])
     owner = np.repeat(np.arange(len(right)), sizes)
     flat = np.concatenate(right)
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
+    lefts, found = [], []
     for i, s in enumerate(left):
         low, high = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
         n = high - low
@@ -139,7 +140,9 @@ def _links(left: list[np.ndarray], right: list[np.ndarray], same: bool, percent:
         at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(total)
         common = np.bincount(owner[at], minlength=len(right))
         hit = np.flatnonzero(100 * common >= percent * (len(s) + sizes - common))
-        yield from ((i, int(j)) for j in hit if not same or j > i)
+        found.append(hit[hit > i] if same else hit)
+        lefts.append(np.full(len(found[-1]), i))
+    return np.concatenate(lefts or [np.empty(0, dtype=np.int64)]), np.concatenate(found or [np.empty(0, dtype=np.int64)])
 
 
 def confirm(members: DataFrame, size: int, percent: int, parts: int) -> DataFrame:
@@ -150,10 +153,10 @@ def confirm(members: DataFrame, size: int, percent: int, parts: int) -> DataFram
             left, right = (left, left) if same else (left, right)
             if not left or not right:
                 return []
-            forest, ids = Forest(), [[d for d, _ in x] for x in (left, right)]
-            for i, j in _links([s for _, s in left], [s for _, s in right], same, percent):
-                forest.join(ids[0][i], ids[1][j])
-            return [(n, r) for n in forest.up if (r := forest.root(n)) != n]
+            i, j = _links([s for _, s in left], [s for _, s in right], same, percent)
+            ids, number = np.unique([d for d, _ in [*left, *right]], return_inverse=True)
+            root = least_reachable(len(ids), number[: len(left)][i], number[-len(right) :][j])
+            return [(n, r) for n, r in zip(ids.tolist(), ids[root].tolist(), strict=True) if n != r]
 
         def batch_of(rows):
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.int64())], ["u", "v"])
