@@ -40,12 +40,11 @@ def main() -> None:
     chars = docs.selectExpr("sum(length(text)) c", "count(*) n").first()
 
     def build():
-        # read, normalise, finalize: all four tables are made, none is written
-        built = indexes.build(docs)
-        lists = built.postings.persist()
-        indexes.from_postings(built.docs, lists).terms.write.format("noop").mode("overwrite").save()
-        built.docs.write.format("noop").mode("overwrite").save()
-        lists.unpersist(True)
+        # read, normalise, finalize: all four tables are made and held, none is written
+        built = indexes.build(docs).cached()
+        for made in (built.postings, built.docs, built.terms, built.stats):
+            made.write.format("noop").mode("overwrite").save()
+        built.dropped()
 
     timed("index_build", build)
     timed("index_save", lambda: store.save(indexes.build(docs), f"{folder}/index"), warm=0, times=1)

@@ -13,16 +13,16 @@ from pyspark.sql import types as T
 
 # Endings and what replaces them, in the order of the published algorithm. No ending of a step ends
 # another but a longer one of the same step, so the longest that fits is the one.
-STEP2 = (
-    "ational:ate tional:tion enci:ence anci:ance izer:ize abli:able alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al "
-    "iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble"
-)
-STEP3 = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"
-STEP4 = "al: ance: ence: er: ic: able: ible: ant: ement: ment: ent: ion: ou: ism: ate: iti: ous: ive: ize:"
+STEP2 = {
+    "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous",
+    "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble",
+}
+STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
+STEP4 = dict.fromkeys(["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize"], "")
 
 
-def _endings(table: str) -> list[tuple[str, str]]:
-    return sorted((tuple(x.split(":")) for x in table.split()), key=lambda x: -len(x[0]))
+def _endings(table: dict[str, str]) -> list[tuple[str, str]]:
+    return sorted(table.items(), key=lambda x: -len(x[0]))
 
 
 _STEPS = ((_endings(STEP2), 0), (_endings(STEP3), 0), (_endings(STEP4), 1))

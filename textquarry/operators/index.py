@@ -2,32 +2,43 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.analyse import analysed
 from ..functions.stopwords import DEFAULT
-from ..functions.text import normalized
 
-FORMAT_VERSION = 1
+FORMAT_VERSION = 2
 
 
 @dataclass(frozen=True)
 class Index:
-    """docs (doc_id, length, title), postings (term, doc_id, tf, positions), terms (term, df, idf), stats (one row)."""
+    """docs (doc_id, length, title), postings (term, doc_id, tf, positions, length), terms (term, df, idf), stats (one row).
+
+    A posting carries its document's length, so ranking reads no other table. rows: what docs and postings are both made
+    of, if they are. name: the folder of a saved index. key: of this object alone.
+    """
 
     docs: DataFrame
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
     name: str = ""
+    rows: DataFrame | None = None
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def cached(self) -> Index:
-        for df in (self.docs, self.postings, self.terms, self.stats):
+        for df in (self.rows or self.postings, self.docs, self.terms, self.stats):
             df.persist()
         return self
 
+    def dropped(self) -> None:
+        for df in (self.rows or self.postings, self.docs, self.terms, self.stats):
+            df.unpersist()
+
     def summary(self) -> dict:
         """docs_indexed, vocab_size, total_postings, avg_doc_length."""
         row = self.stats.first()
@@ -36,27 +47,33 @@ class Index:
 
 
 def postings(corpus: DataFrame, stopwords: frozenset[str] = DEFAULT) -> DataFrame:
-    """(term, doc_id, tf, positions ascending) of corpus (doc_id, text): one shuffle, tokens gathered per task before it."""
-    rows = normalized(corpus, "text", "doc_id", stopwords=stopwords)
-    lists = rows.groupBy("term", "doc_id").agg(F.sort_array(F.collect_list("position")).alias("positions"))
-    return lists.select("term", "doc_id", F.size("positions").alias("tf"), "positions")
+    """(term, doc_id, tf, positions ascending, length) of corpus (doc_id, title, text), without a shuffle."""
+    return _postings(analysed(corpus, stopwords))
+
+
+def _postings(rows: DataFrame) -> DataFrame:
+    return rows.filter("term IS NOT NULL").select("term", "doc_id", "tf", "positions", "length")
 
 
 def idf(df, n):
     return F.log((n - df + 0.5) / (df + 0.5) + 1)
 
 
-def from_postings(docs: DataFrame, lists: DataFrame, name: str = "") -> Index:
-    """An index of given docs (doc_id, length, title) and postings."""
+def from_postings(docs: DataFrame, lists: DataFrame, name: str = "", rows: DataFrame | None = None) -> Index:
+    """An index of given docs (doc_id, length, title) and postings; postings without lengths get those of docs."""
+    if "length" not in lists.columns:
+        lists = lists.join(docs.select("doc_id", "length"), "doc_id").select("term", "doc_id", "tf", "positions", "length")
     stats = docs.agg(F.count("*").alias("num_docs"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("avg_doc_length"))
     counts = lists.groupBy("term").agg(F.count("*").alias("df"))
     terms = counts.crossJoin(F.broadcast(stats.select("num_docs"))).select("term", "df", idf(F.col("df"), F.col("num_docs")).alias("idf"))  # one row is broadcast
-    return Index(docs, lists, terms, stats.withColumn("format_version", F.lit(FORMAT_VERSION)), name)
+    return Index(docs, lists, terms, stats.withColumn("format_version", F.lit(FORMAT_VERSION)), name, rows)
+
+
+def from_rows(rows: DataFrame) -> Index:
+    """An index of what `analysed` made of a corpus."""
+    return from_postings(rows.filter("term IS NULL").select("doc_id", "length", "title"), _postings(rows), rows=rows)
 
 
 def build(corpus: DataFrame, stopwords: frozenset[str] = DEFAULT) -> Index:
     """An index of corpus (doc_id, title, text). Documents without a kept token have length 0 and count in the average."""
-    lists = postings(corpus, stopwords)
-    lengths = lists.groupBy("doc_id").agg(F.sum("tf").cast("int").alias("length"))
-    docs = corpus.select("doc_id", "title").join(lengths, "doc_id", "left").select("doc_id", F.coalesce("length", F.lit(0)).alias("length"), "title")
-    return from_postings(docs, lists)
+    return from_rows(analysed(corpus, stopwords))

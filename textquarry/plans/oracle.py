@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
-from ..functions.stem import STEP2, STEP3, STEP4, _endings
-from ..functions.stopwords import DEFAULT
-
-_STOP = ", ".join("('" + w.replace("'", "''") + "')" for w in sorted(DEFAULT))
+# Fixed values, stated here once more, so that a wrong one in the engine shows.
+_STOPWORDS = """
+a about above after again against all am an and any are aren't as at be because been before being below between both but by can't cannot
+could couldn't did didn't do does doesn't doing don't down during each few for from further get got had hadn't has hasn't have haven't
+having he her here hers herself him himself his how i if in into is isn't it its itself just let's me might more most mustn't my myself no
+nor not of off on once only or other ought our ours ourselves out over own same shan't she should shouldn't so some such than that the
+their theirs them themselves then there these they this those through to too under until up us very was wasn't we were weren't what when
+where which while who whom why will with won't would wouldn't you your yours yourself yourselves
+""".split()
+_STEP2 = [
+    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"),
+    ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"),
+]
+_STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")]
+_STEP4 = [(e, "") for e in "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()]
+_STOP = ", ".join("('" + w.replace("'", "''") + "')" for w in _STOPWORDS)
 _MASK = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(regexp_replace({w}, '[^aeiouy]', 'C', 'g'), 'aeiou', 'VVVVV'), '^y', 'C'), 'Vy', 'VC', 'g'), 'yy', 'VC', 'g'), 'y', 'V', 'g')"
 
 
@@ -21,8 +33,8 @@ def _rung(name: str, before: str, expr: str, extra: str = "") -> str:
     return f"{name}_ AS (SELECT token, w, {_MASK.format(w='w')} AS m{', dropped' if extra == 'use' else ''} FROM {before}),\n{name} AS (SELECT token, {expr} AS w{', ' + extra if extra not in ('', 'use') else ''} FROM {name}_)"
 
 
-def _suffixes(table: str, least: int) -> str:
-    pairs = _endings(table)
+def _suffixes(table: list[tuple[str, str]], least: int) -> str:
+    pairs = sorted(table, key=lambda x: -len(x[0]))  # the longest ending that fits
     cases = " ".join(f"WHEN ends_with(w, '{e}') THEN CASE WHEN {_m(len(e))} > {least} THEN left(w, len(w) - {len(e)}) || '{to}' ELSE w END" for e, to in pairs)
     return f"CASE WHEN len(w) < 3 THEN w {cases} ELSE w END"
 
@@ -36,9 +48,9 @@ _STEMS = ",\n".join([
     _rung("s2", "s1", f"CASE WHEN ends_with(w, 'eed') THEN CASE WHEN {_m(3)} > 0 THEN left(w, len(w) - 1) ELSE w END WHEN {_ED} THEN left(w, len(w) - 2) WHEN {_ING} THEN left(w, len(w) - 3) ELSE w END", f"(({_ED}) OR ({_ING})) AS dropped"),
     _rung("s3", "s2", f"CASE WHEN NOT dropped THEN w WHEN right(w, 2) IN ('at', 'bl', 'iz') THEN w || 'e' WHEN len(w) > 1 AND right(w, 1) = substr(w, len(w) - 1, 1) AND ends_with(m, 'C') THEN CASE WHEN right(w, 1) IN ('l', 's', 'z') THEN w ELSE left(w, len(w) - 1) END WHEN {_m(0)} = 1 AND {_CVC} THEN w || 'e' ELSE w END", "use"),
     _rung("s4", "s3", f"CASE WHEN len(w) > 1 AND ends_with(w, 'y') AND {_vowel(1)} THEN left(w, len(w) - 1) || 'i' ELSE w END"),
-    _rung("s5", "s4", _suffixes(STEP2, 0)),
-    _rung("s6", "s5", _suffixes(STEP3, 0)),
-    _rung("s7", "s6", _suffixes(STEP4, 1)),
+    _rung("s5", "s4", _suffixes(_STEP2, 0)),
+    _rung("s6", "s5", _suffixes(_STEP3, 0)),
+    _rung("s7", "s6", _suffixes(_STEP4, 1)),
     _rung("s8", "s7", f"CASE WHEN ends_with(w, 'e') AND ({_m(1)} > 1 OR ({_m(1)} = 1 AND NOT (len(w) > 2 AND substr(m, len(w) - 2, 2) = 'CV') AND NOT (len(w) > 3 AND substr(m, len(w) - 3, 3) = 'CVC' AND substr(w, len(w) - 1, 1) NOT IN ('w', 'x', 'y')))) THEN left(w, len(w) - 1) ELSE w END"),
     _rung("s9", "s8", f"CASE WHEN ends_with(w, 'll') AND {_m(0)} > 1 THEN left(w, len(w) - 1) ELSE w END"),
     "stems AS (SELECT token, w AS stem FROM s9 UNION ALL SELECT DISTINCT token, token FROM tokens WHERE len(token) <= 2)",
@@ -65,7 +77,7 @@ def scored(weights: dict[str, int], k1: float = 1.2, b: float = 0.75) -> str:
     rows = ", ".join(f"('{t}', {n})" for t, n in weights.items())
     return f"""{INDEX},
 words(term, times) AS (VALUES {rows}),
-scores AS (SELECT p.doc_id, sum(w.times * t.idf * p.tf * ({k1} + 1) / (p.tf + {k1} * (1 - {b}) + {k1} * {b} * d.length / greatest(s.avg_doc_length, 1.0))) AS score
+scores AS (SELECT p.doc_id, sum(w.times * t.idf * p.tf * ({k1} + 1) / (p.tf + {k1} * (1 - {b}) + {k1} * {b} * d.length / greatest(s.avg_doc_length, 1.0)) ORDER BY w.term) AS score
   FROM postings p JOIN words w ON w.term = p.term JOIN terms t ON t.term = p.term JOIN docs d ON d.doc_id = p.doc_id, stats s GROUP BY p.doc_id)"""
 
 
@@ -80,6 +92,6 @@ def phrase(*terms: str) -> str:
 
 def ranked(weights: dict[str, int], candidates: str, k: int = 10, k1: float = 1.2, b: float = 0.75) -> str:
     return f"""{scored(weights, k1, b)},
-best AS (SELECT doc_id, round(score, 6) AS score FROM scores WHERE doc_id IN {candidates} AND round(score, 6) > 0)
-SELECT CAST(row_number() OVER (ORDER BY score DESC, b.doc_id) AS INTEGER) AS rank, b.doc_id, score, title FROM best b JOIN docs d ON d.doc_id = b.doc_id
-QUALIFY row_number() OVER (ORDER BY score DESC, b.doc_id) <= {k}"""
+best AS (SELECT doc_id, score AS raw FROM scores WHERE doc_id IN {candidates} AND score > 0)
+SELECT CAST(row_number() OVER (ORDER BY raw DESC, b.doc_id) AS INTEGER) AS rank, b.doc_id, round(raw, 6) AS score, title FROM best b JOIN docs d ON d.doc_id = b.doc_id
+QUALIFY row_number() OVER (ORDER BY raw DESC, b.doc_id) <= {k}"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from ..functions.stem import with_stem
 from ..operators import index as indexes
 from ..operators import postings as lists
 from ..operators.search import Config, execute, matches, score_document, search, search_batch
-from ..sources import ingest
+from ..sources import ingest, store
+from ..sources.shared import new_path
 from . import oracle as o
 from .query import And, Not, Or, Phrase, Term, parse
 
@@ -20,40 +23,75 @@ BATCH = {0: "tion ther", 1: "tion AND ther", 2: "tion NOT ther", 3: '"anea erine
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.from_table(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
+    return ingest.from_table(ingest.spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), "doc_id", "text")
 
 
 def index(spark: SparkSession, sf_dir: str) -> indexes.Index:
     return indexes.build(corpus(spark, sf_dir))
 
 
+_SAVED: dict[tuple[str, str], str] = {}
+
+
+def saved(spark: SparkSession, sf_dir: str) -> indexes.Index:
+    """An index of documents that was saved and loaded again; one folder for all queries of a session."""
+    at = spark.sparkContext.applicationId, sf_dir
+    if at not in _SAVED or not store.exists(spark, _SAVED[at]):
+        _SAVED[at] = new_path(spark, "index")
+        store.save(index(spark, sf_dir), _SAVED[at])
+    return store.load(spark, _SAVED[at])
+
+
+def _jsonl(compat: bool):
+    """Documents as JSON lines, a file for each range of ids, and read back: ids follow the lines."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = new_path(spark, "jsonl")
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        lines = docs.select("doc_id", F.col("doc_id").cast("string").alias("id"), F.lit("").alias("title"), F.coalesce("text", F.lit("")).alias("text"))
+        lines.repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id").drop("doc_id").write.json(path)
+        return _digest(ingest.read_jsonl(spark, path, compat))
+
+    return run, "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, CAST(doc_id AS VARCHAR) AS title, length(doc_id || ' ' || text) AS n_chars, md5(doc_id || ' ' || text) AS digest FROM documents WHERE coalesce(text, '') <> ''"
+
+
+def _digest(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "title", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+def _directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "texts")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    ingest.write_directory(docs.select(F.concat(F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(".txt")).alias("title"), "text"), path)
+    return _digest(ingest.read_directory(spark, path))
+
+
 def _shown(df: DataFrame) -> DataFrame:
     return df.withColumn("positions", F.concat_ws(" ", F.col("positions").cast("array<string>"))) if "positions" in df.columns else df
 
 
-def _ranked(node_or_query, weights: dict[str, int], candidates: str, k: int = 10, config: Config | None = None):
+def _ranked(node_or_query, weights: dict[str, int], candidates: str, k: int = 10, config: Config | None = None, of=index):
     c = config or Config(k)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ix = index(spark, sf_dir)
+        ix = of(spark, sf_dir)
         return search(ix, node_or_query, c) if isinstance(node_or_query, str) else execute(ix, node_or_query, c)
 
     return run, o.ranked(weights, candidates, c.top_k, c.k1, c.b)
 
 
-def _found(query: str, candidates: str):
+def _found(query: str, candidates: str, of=index):
     """The documents that a query admits."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return matches(index(spark, sf_dir), parse(query)).select("doc_id")
+        return matches(of(spark, sf_dir), parse(query)).select("doc_id")
 
     return run, f"{o.INDEX} SELECT doc_id FROM {candidates} c"
 
 
-def _lists(op, sql: str):
+def _lists(op, sql: str, of=index):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        p = indexes.postings(corpus(spark, sf_dir))
-        return _shown(op(p))
+        return _shown(op(of(spark, sf_dir).postings.drop("length")))
 
     return run, f"{o.INDEX} {sql}"
 
@@ -97,8 +135,8 @@ def _one_doc(spark, d):
     return score_document(ix, ["tion", "ther", "tion"], 7)
 
 
-def _batch(spark, d):
-    return search_batch(index(spark, d), BATCH).select("query_id", "rank", "doc_id", "score")
+def _batch(of):
+    return lambda spark, d: search_batch(of(spark, d), BATCH).select("query_id", "rank", "doc_id", "score")
 
 
 def _batch_sql() -> str:
@@ -111,9 +149,9 @@ def _batch_sql() -> str:
     admitted = " UNION ALL ".join(f"SELECT {q} AS query_id, doc_id FROM {c} c{q}" for q, (_, c) in rules.items())
     return f"""{o.INDEX},
 words(query_id, term, times) AS (VALUES {words}), admitted AS ({admitted}),
-scores AS (SELECT a.query_id, p.doc_id, round(sum(w.times * t.idf * p.tf * 2.2 / (p.tf + 1.2 * 0.25 + 1.2 * 0.75 * d.length / greatest(s.avg_doc_length, 1.0))), 6) AS score
+scores AS (SELECT a.query_id, p.doc_id, sum(w.times * t.idf * p.tf * 2.2 / (p.tf + 1.2 * 0.25 + 1.2 * 0.75 * d.length / greatest(s.avg_doc_length, 1.0)) ORDER BY w.term) AS score
   FROM admitted a JOIN words w ON w.query_id = a.query_id JOIN postings p ON p.term = w.term AND p.doc_id = a.doc_id JOIN terms t ON t.term = p.term JOIN docs d ON d.doc_id = p.doc_id, stats s GROUP BY ALL)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, round(score, 6) AS score FROM scores WHERE score > 0
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10"""
 
 
@@ -136,6 +174,7 @@ _QUERIES = {
     "forward_lookup": (lambda s, d: index(s, d).docs.filter("doc_id IN (3, 77, 123456789)"), f"{o.INDEX} SELECT doc_id, length, title FROM docs WHERE doc_id IN (3, 77, 123456789)"),
     "term_lookup": _lists(lambda p: lists.lookup(p, "tion"), f"{_P} WHERE term = 'tion'"),
     "posting_find": _lists(lambda p: lists.find(p, "tion", 7), f"{_P} WHERE term = 'tion' AND doc_id = 7"),
+    "posting_find_all": _lists(lambda p: reduce(DataFrame.unionByName, (lists.find(p, t, i) for t in ("tion", "ther", "anea") for i in range(0, 60, 3))), f"{_P} WHERE term IN ('tion', 'ther', 'anea') AND doc_id < 60 AND doc_id % 3 = 0"),
     "posting_seek": _lists(lambda p: lists.seek(p, "tion", 100), f"{_P} WHERE term = 'tion' AND doc_id >= 100 ORDER BY doc_id LIMIT 1"),
     "posting_seek_past": _lists(lambda p: lists.seek(p, "tion", 100, past=True), f"{_P} WHERE term = 'tion' AND doc_id > 100 ORDER BY doc_id LIMIT 1"),
     "posting_intersect": _lists(lambda p: lists.intersect(lists.lookup(p, "tion"), lists.lookup(p, "ther")), f"SELECT * FROM {_T} INTERSECT SELECT * FROM {_H}"),
@@ -160,7 +199,20 @@ _QUERIES = {
     "topk": _ranked("tion", {"tion": 1}, _T, 5),
     "search_or": _ranked("tion ther", {"tion": 1, "ther": 1}, f"(SELECT * FROM {_T} UNION SELECT * FROM {_H})"),
     "search_and": _ranked("pour AND heat", {"pour": 1, "heat": 1}, f"(SELECT * FROM {o.has('pour')} INTERSECT SELECT * FROM {o.has('heat')})"),
-    "search_batch": (_batch, _batch_sql()),
+    "search_batch": (_batch(index), _batch_sql()),
+    "jsonl_ingest": _jsonl(False),
+    "jsonl_ingest_compat": _jsonl(True),
+    "directory_ingest": (_directory, "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, lpad(CAST(doc_id AS VARCHAR), 12, '0') || '.txt' AS title, length(coalesce(text, '')) AS n_chars, md5(coalesce(text, '')) AS digest FROM documents"),
+    "save_load": _lists(lambda p: p, _P, saved),
+    "saved_docs": (lambda s, d: saved(s, d).docs, f"{o.INDEX} SELECT doc_id, length, title FROM docs"),
+    "saved_terms": (lambda s, d: saved(s, d).terms.select("term", "df", F.round("idf", 6).alias("idf")), f"{o.INDEX} SELECT term, df, round(idf, 6) AS idf FROM terms"),
+    "saved_stats": (lambda s, d: saved(s, d).stats.select("num_docs", F.round("avg_doc_length", 6).alias("avg_doc_length")), f"{o.INDEX} SELECT num_docs, round(avg_doc_length, 6) AS avg_doc_length FROM stats"),
+    "saved_term_lookup": _lists(lambda p: lists.lookup(p, "tion"), f"{_P} WHERE term = 'tion'", saved),
+    "saved_seek": _lists(lambda p: lists.seek(p, "tion", 100), f"{_P} WHERE term = 'tion' AND doc_id >= 100 ORDER BY doc_id LIMIT 1", saved),
+    "saved_bool_mixed": _found("tion AND ther NOT thon reed", f"(SELECT * FROM (SELECT * FROM {_T} INTERSECT (SELECT * FROM {_H} EXCEPT SELECT * FROM {o.has('thon')})) UNION SELECT * FROM {o.has('reed')})", saved),
+    "saved_phrase": _found('"anea eriner thanea"', o.phrase("anea", "eriner", "thanea"), saved),
+    "saved_bm25_or": _ranked("tion ther", {"tion": 1, "ther": 1}, f"(SELECT * FROM {_T} UNION SELECT * FROM {_H})", of=saved),
+    "saved_search_batch": (_batch(saved), _batch_sql()),
     "quirk_leading_not": _found("NOT tion", f"(SELECT * FROM {o.has('not')} UNION SELECT * FROM {_T})"),
     "quirk_and_not": _found("tion AND NOT ther", f"(SELECT * FROM (SELECT * FROM {_T} INTERSECT SELECT * FROM {o.has('not')}) UNION SELECT * FROM {_H})"),
     "quirk_or_word": _found("tion OR ther", f"(SELECT * FROM {_T} UNION SELECT * FROM {o.has('or')} UNION SELECT * FROM {_H})"),

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stopwords as _stopwords
-from ..operators.numbering import numbered
 
 FIELDS = "id string, title string, text string"
 EXTENSIONS = (".txt", ".md", ".text")
@@ -24,12 +23,12 @@ def json_field(line: Column, field: str) -> Column:
     \\n, \\t, \\\\ and \\" are undone and any other \\x is x; an open string ends with the line; a missing field is empty.
     """
     head = f'"{field}"[^:]*: *'
-    quoted = F.regexp_extract(line, head + r'"((?:[^"\\]|\\.)*\\?)', 1)
+    quoted = F.regexp_extract(line, head + r'"([^"\\]*+(?:\\[\s\S][^"\\]*+)*+\\?)', 1)
     plain = F.regexp_extract(line, head + r'([^",}][^,}]*)', 1)
     text = F.replace(quoted, F.lit("\\\\"), F.lit("\u0001"))
     for code, char in (("\\n", "\n"), ("\\t", "\t")):
         text = F.replace(text, F.lit(code), F.lit(char))
-    text = F.replace(F.regexp_replace(text, r"\\(.)", "$1"), F.lit("\u0001"), F.lit("\\"))
+    text = F.replace(F.regexp_replace(text, r"(?s)\\(.)", "$1"), F.lit("\u0001"), F.lit("\\"))
     return F.when(line.rlike(head + '"'), text).otherwise(plain)
 
 
@@ -39,15 +38,31 @@ def read_jsonl(spark: SparkSession, path: str, compat: bool = False) -> DataFram
     The strict reader leaves out malformed lines. compat reads fields by `json_field`, which salvages them, takes null
     as the word, and does not know \\u escapes.
     """
-    at = ["_file", "_start", "_line"]
-    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_line")]
+    at = ["_file", "_start"]
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")]
     if compat:
         lines = spark.read.text(path).select("value", *place).filter("value <> ''")
         raw = lines.select(*(json_field(F.col("value"), f).alias(f) for f in ("id", "title", "text")), *at)
     else:
         raw = spark.read.schema(FIELDS).json(path).select("id", "title", "text", *place)
-    # the running id of a scan orders the lines within a block of a file
-    return numbered(titled(raw), "doc_id", *at).select("doc_id", "title", "text")
+    return _in_file_order(titled(raw)).select("doc_id", "title", "text")
+
+
+def _in_file_order(rows: DataFrame) -> DataFrame:
+    """rows (.., _file, _start) of a scan with dense ids `doc_id` in the order of files and lines; no text is moved or kept.
+
+    The running id that a scan gives its rows has no gaps within a block of a file; so a count per block, and the first
+    running id in it, make a row's place known. The files are read twice, in the same blocks.
+    """
+    placed = rows.withColumn("_line", F.monotonically_increasing_id())
+    blocks = placed.groupBy("_file", "_start").agg(F.count("*").alias("_n"), F.min("_line").alias("_first"))
+    found, before = [], 0
+    for r in sorted(blocks.collect()):  # a row per block of a file: what the driver has planned anyway
+        found.append((r["_file"], r["_start"], before - r["_first"]))
+        before += r["_n"]
+    offsets = rows.sparkSession.createDataFrame(found, "_f string, _s long, _offset long")
+    same = (placed["_file"] == offsets["_f"]) & (placed["_start"] == offsets["_s"])
+    return placed.join(F.broadcast(offsets), same).withColumn("doc_id", F.col("_line") + F.col("_offset"))
 
 
 def read_directory(spark: SparkSession, path: str) -> DataFrame:
@@ -63,14 +78,38 @@ def read_directory(spark: SparkSession, path: str) -> DataFrame:
         name = f.getPath().getName()
         if f.isFile() and name.endswith(EXTENSIONS):
             found.append((f.getPath().toString(), name))
-    listed = spark.createDataFrame(found, "path string, title string")
+    listed = spark.createDataFrame([(i, *x) for i, x in enumerate(sorted(found))], "doc_id long, path string, title string")
     if not found:
-        return listed.select(F.lit(0).cast("long").alias("doc_id"), "title", F.lit("").alias("text"))
+        return listed.select("doc_id", "title", F.lit("").alias("text"))
     plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
-    texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    texts = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     texts = texts.select(plain(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))).alias("_path"), F.col("value").alias("text"))
-    both = listed.withColumn("_path", plain(F.col("path"))).join(texts, "_path", "left").select("path", "title", F.coalesce("text", F.lit("")).alias("text"))
-    return numbered(both, "doc_id", "path").select("doc_id", "title", "text")
+    return listed.withColumn("_path", plain(F.col("path"))).join(texts, "_path", "left").select("doc_id", "title", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def spread(df: DataFrame, task_bytes: int = 64 << 20) -> DataFrame:
+    """A small table over all cores: one row group is one task's. Tables of more than that many bytes a core stay as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * task_bytes else df
+
+
+def write_directory(docs: DataFrame, path: str) -> int:
+    """Writes each row of docs (title, text) as the file `title` in the folder path, by tasks; how many there are."""
+    from pyarrow import fs
+
+    def put(batches):
+        import pyarrow as pa
+
+        store, folder = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        store.create_dir(folder, recursive=True)
+        for batch in batches:
+            for title, text in zip(batch.column("title").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                with store.open_output_stream(f"{folder}/{title}") as f:
+                    f.write((text or "").encode())
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    return docs.select("title", "text").mapInArrow(put, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def from_table(df: DataFrame, id_column: str, text_column: str, title_column: str | None = None) -> DataFrame:

@@ -5,23 +5,32 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.index import FORMAT_VERSION, Index
+from ..functions.analyse import ROWS
+from ..operators.index import FORMAT_VERSION, Index, from_postings, from_rows
 
 SCHEMAS = {
-    "docs": "doc_id long, length int, title string", "postings": "term string, doc_id long, tf int, positions array<int>", "terms": "term string, df long, idf double",
+    "docs": "doc_id long, length int, title string", "postings": "term string, doc_id long, tf int, positions array<int>, length int", "terms": "term string, df long, idf double",
     "stats": "num_docs long, avg_doc_length double, format_version int",
 }
 
 
 def save(index: Index, path: str) -> None:
-    """Postings and terms are cut into ranges and sorted, so a term's filter skips all but its row groups.
+    """Postings and terms are cut into ranges and sorted, so a term's filter skips all but its row groups; docs by their ids.
 
-    Ranges of (term, doc_id) split a term that many documents hold. stats comes last: without it there is no index.
+    Ranges of (term, doc_id) split a term that many documents hold. What docs and postings are made of is written first,
+    so texts are read and cut once, and the ranges are sampled from that. stats comes last: without it there is no index.
     """
-    index.docs.write.mode("overwrite").parquet(f"{path}/docs")
+    spark = index.docs.sparkSession
+    removed(spark, f"{path}/stats")
+    if index.rows is not None:
+        index.rows.write.mode("overwrite").parquet(f"{path}/_rows")
+        index = from_rows(spark.read.schema(ROWS).parquet(f"{path}/_rows"))
+    index.docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{path}/docs")
     index.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-    index.terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
-    index.stats.select("num_docs", "avg_doc_length", F.lit(FORMAT_VERSION).alias("format_version")).write.mode("overwrite").parquet(f"{path}/stats")
+    made = from_postings(*(spark.read.schema(SCHEMAS[t]).parquet(f"{path}/{t}") for t in ("docs", "postings")))
+    made.terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+    made.stats.select("num_docs", "avg_doc_length", F.lit(FORMAT_VERSION).alias("format_version")).write.mode("overwrite").parquet(f"{path}/stats")
+    removed(spark, f"{path}/_rows")
 
 
 def load(spark: SparkSession, path: str) -> Index:
@@ -32,6 +41,16 @@ def load(spark: SparkSession, path: str) -> Index:
     return Index(tables["docs"], tables["postings"], tables["terms"], tables["stats"], path)
 
 
+def _at(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def exists(spark: SparkSession, path: str) -> bool:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/stats")
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    store, at = _at(spark, f"{path}/stats")
+    return store.exists(at)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    store, at = _at(spark, path)
+    store.delete(at, True)
