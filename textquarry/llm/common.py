@@ -6,14 +6,14 @@ import contextlib
 import ctypes
 import gc
 import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_path, shared_dir  # noqa: F401
+
 #: Java and Python regex of one word: anything but the ASCII white space of the contracts.
 WORD = r"[^\x20\x09-\x0D]+"
 _WORD = re.compile("[^ \t-\r]+")
@@ -30,21 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; one of our own only in local mode."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="textquarry-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 _MADE: list[list[str]] = []
 
 
@@ -165,7 +150,3 @@ def filtered_join(spark: SparkSession, n: int):
     at = "spark__sql__optimizer__runtime__bloomFilter__"
     bits = min(max(1 << 16, 16 * n), 1 << 26)
     return settings(spark, **{f"{at}applicationSideScanSizeThreshold": "0b", f"{at}creationSideThreshold": "1t", f"{at}expectedNumItems": max(n, 1), f"{at}numBits": bits})
-
-
-def text_or_empty(column: str = "text"):
-    return F.coalesce(F.col(column), F.lit(""))

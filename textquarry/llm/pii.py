@@ -1,10 +1,12 @@
 """Personal data by bootstrapped contextual extraction.
 
-Every text is scanned for base spans (email, ip, card, phone) by rules; they are the seeds and are always reported. The
-same scan takes whatever may stand in the place of a pattern as a look-alike (any run of LEAST_DIGITS digits or more,
-however separated; an address with its "at" or "dot" written out; groups of hexadecimal digits with colons), once for
-each kind that its digits allow, so that the pattern decides on the kind, and, for seeds and look-alikes both, the
-lexical patterns they stand in: the two words before, what is joined to the front, the words on either side. Spark then scores the graph of
+Every text is scanned for base spans (email, ip, card, phone) by rules, and for secrets: values of SECRET_LENGTH letters
+and digits or more that are given to a name like "token" or "api_key", and keys of known forms. They are the seeds and are
+always reported. The same scan takes whatever may stand in the place of a pattern as a look-alike (any run of LEAST_DIGITS digits or more,
+however separated; an address with its "at" or "dot" written out; groups of hexadecimal digits with colons; runs of
+SECRET_LENGTH mixed letters and digits), once for each kind that its digits allow, so that the pattern decides on the kind, and, for seeds and look-alikes both, the
+lexical patterns they stand in: the two words before, what is joined to the front, the words on either side, all within
+80 characters, each word by its last 24. Spark then scores the graph of
 patterns and instances in rounds, until one accepts nothing new. A pattern of `support` known instances is as good as
 their share of what speaks for or against it: known instances of its kind, those of other kinds, and the different
 ordinary words that stand in its place (`against`). Unlabelled look-alikes speak neither way, however many they are. An
@@ -35,10 +37,13 @@ from pyspark.sql import functions as F
 
 from .common import mapped, written
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
+SECRET = 4
 SUPPORT, PATTERN_FROM, ACCEPT = 3.0, 0.6, 0.8
 #: Fewer digits than this are no identifier: what stands so in a pattern's place speaks against it.
 LEAST_DIGITS = 7
+#: Shorter values are no secret.
+SECRET_LENGTH = 20
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -57,6 +62,12 @@ _AHEAD = re.compile(rf"[A-Za-z0-9._%+-]++(?:(?:\s?[(\[{{<][dD][oO][tT][)\]}}>]\s
 _BEFORE = re.compile(r"(\S*)\s+(\S*)\s+(\S*)$")
 _AFTER = re.compile(r"\S*\s*(\S*)")
 _NUMBER = re.compile("[0-9]+")
+_GIVEN = re.compile(rf"""[=:]\s{{0,3}}["']?([A-Za-z0-9+/_.~-]{{{SECRET_LENGTH},}}=*)""")
+_NAME = re.compile(r"""([A-Za-z_-]{2,32})["']?\s{0,3}$""")
+_SECRET_NAMES = ("token", "secret", "password", "passwd", "pwd", "apikey", "secretkey", "accesskey", "privatekey", "authkey", "credential", "credentials")
+_KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{20,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]*)(?![A-Za-z0-9])")
+_KEY_STARTS = ("AKIA", "gh", "xox", "eyJ")
+_LONG = re.compile(rf"(?<![A-Za-z0-9+/_=.@-])[A-Za-z0-9+/_-]{{{SECRET_LENGTH},128}}+={{0,2}}(?![A-Za-z0-9+/_=@-])")
 
 
 def luhn(digits: str) -> bool:
@@ -99,6 +110,37 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def mixed(value: str) -> bool:
+    """Letters and digits, of many kinds: no word, number or line of signs."""
+    return any(c in "0123456789" for c in value) and any(c.isalpha() for c in value) and len(set(value)) >= 8
+
+
+def secrets(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Secrets that are told by a name or a known form and do not overlap base spans, sorted, none over another."""
+    found = []
+    if "=" in text or ":" in text:
+        for m in _GIVEN.finditer(text):
+            name = _NAME.search(text[max(0, m.start() - 40) : m.start()])
+            if name and name[1].lower().replace("_", "").replace("-", "").endswith(_SECRET_NAMES) and mixed(m[1]):
+                found.append((m.start(1), SECRET, m.end(1)))
+    if any(k in text for k in _KEY_STARTS):
+        found += [(m.start(), SECRET, m.end()) for m in _KEY.finditer(text)]
+    return apart(found, base)
+
+
+def apart(found: list[tuple[int, int, int]], others: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Those of found, sorted, that overlap none of the others and no earlier one."""
+    out, end, i = [], 0, 0
+    taken = sorted((a, b) for a, _, b in others)
+    for a, k, b in sorted(found):
+        while i < len(taken) and taken[i][1] <= a:
+            i += 1
+        if a >= end and not (i < len(taken) and taken[i][0] < b):
+            out.append((a, k, b))
+            end = b
+    return out
+
+
 def spelled(text: str) -> list[tuple[int, int]]:
     """Addresses with "at" or "dot" written out, or without a dot, found from their "at"."""
     found, end = [], 0
@@ -161,6 +203,7 @@ def loose_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
             for a, b in [*parts, (a, m.end())]:
                 if n := _RUN.search(text, a, b):
                     found += [(x, k, y) for x, y in runs(text, n.start(), n.end()) for k in kinds_of(text[x:y])]
+    found += [(m.start(), SECRET, m.end()) for m in _LONG.finditer(text) if mixed(m[0])]
     out, taken = [], sorted((a, b) for a, _, b in base)
     i = 0
     for a, k, b in sorted(found):
@@ -197,16 +240,17 @@ _SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """A row per document: doc_id, text_hash, base spans, their digest, look-alikes, and the edges of the graph."""
+    """A row per document: doc_id, text_hash, base spans, their digest, secrets, look-alikes, and the edges of the graph."""
 
     def work(batches):
         for batch in batches:
-            out = {k: [] for k in ("text_hash", "base", "sha", "looks", "edges")}
+            out = {k: [] for k in ("text_hash", "base", "sha", "secrets", "looks", "edges")}
             for text in batch.column("text").to_pylist():
                 text = text or ""
                 base = base_spans(text)
-                looks, edges, noted = loose_spans(text, base), [], []
-                for seed, spans in ((True, base), (False, looks)):
+                told = secrets(text, base)
+                looks, edges, noted = loose_spans(text, base + told), [], []
+                for seed, spans in ((True, base + told), (False, looks)):
                     for a, k, b in spans:
                         value = _hash(f"{KINDS[k]} {text[a:b].lower()}")
                         if not seed:
@@ -214,15 +258,16 @@ def scan(docs: DataFrame) -> DataFrame:
                         edges += [{"pattern": p, "value": value, "kind": k, "seed": seed} for p in patterns(text, a, b)]
                 out["text_hash"].append(_hash(text))
                 out["base"].append([{"start": a, "kind": k, "end": b} for a, k, b in base])
+                out["secrets"].append([{"start": a, "kind": k, "end": b} for a, k, b in told])
                 out["sha"].append(hashlib.sha256(joined(base).encode()).digest())
                 out["looks"].append(noted)
                 out["edges"].append(edges)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(out["text_hash"], pa.int64()), pa.array(out["base"], pa.list_(_SPAN)), pa.array(out["sha"], pa.binary()), pa.array(out["looks"], pa.list_(_LOOK)), pa.array(out["edges"], pa.list_(_EDGE))],
-                ["doc_id", "text_hash", "base", "base_sha", "looks", "edges"],
+                [batch.column("doc_id"), pa.array(out["text_hash"], pa.int64()), pa.array(out["base"], pa.list_(_SPAN)), pa.array(out["sha"], pa.binary()), pa.array(out["secrets"], pa.list_(_SPAN)), pa.array(out["looks"], pa.list_(_LOOK)), pa.array(out["edges"], pa.list_(_EDGE))],
+                ["doc_id", "text_hash", "base", "base_sha", "secrets", "looks", "edges"],
             )
 
-    schema = f"doc_id long, text_hash long, base {_SPANS}, base_sha binary, looks array<struct<start:int,kind:int,end:int,value:bigint>>, edges array<struct<pattern:string,value:bigint,kind:int,seed:boolean>>"
+    schema = f"doc_id long, text_hash long, base {_SPANS}, base_sha binary, secrets {_SPANS}, looks array<struct<start:int,kind:int,end:int,value:bigint>>, edges array<struct<pattern:string,value:bigint,kind:int,seed:boolean>>"
     return mapped(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")), work, schema, "pii")
 
 
@@ -232,6 +277,8 @@ _SPELLED = frozenset(f"{a}{w}{b}" for w in ("at", "dot", "@") for a, b in ("  ",
 def ordinary(r: list[str], i: int) -> bool:
     """Whether no identifier can begin with word i of the lower-case words r: too few digits, no address."""
     w = r[i]
+    if len(w) >= SECRET_LENGTH and mixed(w):
+        return False
     if "@" in w or "::" in w or "(at)" in w or "[at]" in w or w.count(":") > 3 or (i + 1 < len(r) and r[i + 1] in _SPELLED):
         return False
     digits = 0
@@ -333,19 +380,20 @@ def chosen(scanned: DataFrame, accepted: DataFrame) -> DataFrame:
 
 
 def find(docs: DataFrame, **how) -> DataFrame:
-    """(doc_id, text_hash, base, base_sha, spans): spans are the base ones and those that the bootstrap adds."""
+    """(doc_id, text_hash, base, base_sha, spans): spans are the base ones, secrets, and those that the bootstrap adds."""
     scanned = written(scan(docs), "pii-scan")
     accepted = bootstrap(scanned.select(F.explode("edges").alias("e")).select("e.*"), docs, **how)
     more = chosen(scanned, accepted)
     same = scanned["doc_id"].eqNullSafe(more["_d"]) & (scanned["text_hash"] == more["_h"])
-    spans = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "more")))
+    added = F.coalesce("more", F.array().cast(_SPANS))
+    spans = F.when(F.size("secrets") + F.size(added) == 0, F.col("base")).otherwise(F.array_sort(F.concat("base", "secrets", added)))
     return scanned.join(more, same, "left").select("doc_id", "text_hash", "base", "base_sha", spans.alias("spans"))
 
 
 def redact(docs: DataFrame, **how) -> DataFrame:
     """docs with each span of its text replaced by its kind in angle brackets, and n_chars, if there, made anew.
 
-    Base spans are found again where the text is; only the few rows that the bootstrap adds to are joined.
+    Base spans and secrets are found again where the text is; only the few rows that the bootstrap adds to are joined.
     """
     scanned = written(scan(docs), "pii-scan")
     accepted = bootstrap(scanned.select(F.explode("edges").alias("e")).select("e.*"), docs, **how)
@@ -369,6 +417,7 @@ def redact(docs: DataFrame, **how) -> DataFrame:
                     out.append(text)
                     continue
                 spans = base_spans(text)
+                spans += secrets(text, spans)
                 if more_:
                     h = _hash(text)
                     spans += [(s["start"], s["kind"], s["end"]) for m in more_ if m["_h"] == h for s in m["_more"]]
@@ -391,7 +440,8 @@ def replaced(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def digests(found: DataFrame) -> DataFrame:
-    n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+    """The contract's columns; then how many secrets and how many spans of any kind there are."""
+    n = lambda k, of="base": F.size(F.filter(of, lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
     kind = lambda s: F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1)
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", kind(s), s["start"].cast("string"), s["end"].cast("string"))), ",")
-    return found.select("doc_id", *map(n, range(4)), F.lower(F.hex("base_sha")).alias("base_sha256"), spans.alias("spans"))
+    return found.select("doc_id", *map(n, range(4)), F.lower(F.hex("base_sha")).alias("base_sha256"), spans.alias("spans"), n(SECRET, "spans"), F.size("spans").cast("long").alias("n_spans"))
