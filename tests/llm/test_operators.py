@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.compare import same_as_sql
-from textquarry.llm import bpe, chat, files, langid, lexicon, minhash, mixing, pieces, pii, pq, quality, queries, shards, tokenfile, warc
+from textquarry.llm import bpe, chat, common, files, langid, lexicon, minhash, mixing, pieces, pii, pq, quality, queries, shards, tokenfile, warc
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -238,6 +238,45 @@ def test_quality(spark, texts, odd):
         assert not (failed and r["kept"])
     rows = quality.rate(odd, public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"]).collect()
     assert len(rows) == len(ODD) and all(r["base_failed"] and not r["kept"] for r in rows if r["doc_id"] in (2, 3, 4, 9))
+    again = quality.rate_corpus(odd, public_tokenizers.path("piece_bpe_32k.model"), ["doc_id", "size"], "lang")
+    assert sorted(map(str, again.drop("size").collect())) == sorted(map(str, rows)) and quality.rate_corpus(odd.limit(0), public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"], "lang").count() == 0
+
+
+def test_quality_measures_and_verdict(spark, texts):
+    """Tokens, bytes and entropy by the vocabulary itself, word by word; bands and verdicts by numpy over all rows."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", F.lit("x").alias("kept"), F.lit(1).alias("group"))
+    rows = quality.rate_corpus(docs, public_tokenizers.path("piece_bpe_32k.model"), ["doc_id", "kept", "group"], "lang").collect()
+    assert rows[0].asDict().keys() == dict.fromkeys(["doc_id", "group", *(n for n, _ in quality.FIELDS)]).keys()
+    source = {r["doc_id"]: r for r in docs.collect()}
+    groups = defaultdict(list)
+    for r in rows:
+        ids = [i for w in WORD.findall(source[r["doc_id"]]["text"] or "") for i in model.encode(w)]
+        share = np.array(list(Counter(ids).values())) / max(1, len(ids))
+        entropy = -(share * np.log2(share)).sum() / math.log2(min(len(ids), 1024)) if len(ids) > 1 else float(len(ids))
+        assert r["n_tokens"] == len(ids) and r["token_entropy"] == pytest.approx(entropy) and r["chars_per_token"] == pytest.approx(r["word_chars"] / max(1, len(ids)))
+        assert r["byte_share"] == pytest.approx(sum(map(model.is_byte, ids)) / max(1, len(ids)))
+        if not r["base_failed"]:
+            groups[source[r["doc_id"]]["lang"] or f"script {r['script']}", len(ids).bit_length() - 1].append(r)
+    n_kept = 0
+    for (lang, _), members in groups.items():
+        c, e = (np.round([r[n] for r in members], 3) for n in ("chars_per_token", "token_entropy"))
+        limits = []
+        for v in (c, e):
+            middle = np.sort(v)[(len(v) - 1) // 2]
+            limits.append((middle, 6 * 1.4826 * max(0.001, np.sort(abs(v - middle))[(len(v) - 1) // 2])))
+        for r in members:
+            if len(members) >= 50:
+                want = abs(r["chars_per_token"] - limits[0][0]) <= limits[0][1] and r["token_entropy"] >= limits[1][0] - limits[1][1] and r["byte_share"] <= 0.25
+            else:
+                band = quality.LANGUAGE_BANDS[lang if lang in quality.LANGUAGE_BANDS else ""]
+                want = band.chars_per_token[0] <= r["chars_per_token"] <= 12 and r["byte_share"] <= 0.25 and (r["n_tokens"] < 40 or r["token_entropy"] >= 0.45)
+            assert r["kept"] == want
+            n_kept += want
+    # the bands reject what the word rules let through, and little of it
+    assert 0.95 * sum(map(len, groups.values())) < n_kept < sum(map(len, groups.values()))
 
 
 def test_quality_rejects_noise(spark, tmp_path):
@@ -264,6 +303,8 @@ def test_language(spark, docs, odd):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1 for r in rows)
     held = [r for r in rows if r["held_out"] and wanted[r["doc_id"]]]
     assert sum(r["lang_pred"] == wanted[r["doc_id"]] for r in held) >= 0.9 * len(held)
+    assert all(bool(r["spans"]) == (r["lang_pred"] != "und") and all(len(s.split(":")) == 3 for s in r["spans"].split(",") if s) for r in rows)
+    assert queries.langid.predict(docs.limit(0), langid.fit([]), ["doc_id"]).count() == 0
     model = langid.train(docs, F.lit(True))
     got = {r["doc_id"]: r for r in langid.predict(odd, model, ["doc_id"], spans=True).collect()}
     assert all((got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0) for i in (2, 3, 4))
@@ -341,7 +382,7 @@ def test_near_copies(spark, texts, odd):
 def test_bands_follow_the_threshold(percent):
     bands, rows = minhash.banding(percent)
     assert (1 - (percent / 100) ** rows) ** bands <= 1.25e-5
-    assert len(minhash.bands(minhash.shingles("a b c d e f g h", 3), bands, rows)) == bands
+    assert len(minhash.bands(minhash.shingles(minhash.word_hashes("a b c d e f g h".split()), 3), bands, rows)) == bands
 
 
 def test_drop_copies_keeps_one_row_of_each_group(spark):
@@ -376,6 +417,21 @@ def test_chat_events(spark):
     assert [tuple(t) for t in out[None]["turns"]] == [("", "")]
 
 
+def test_chat_logs_of_tables(spark):
+    """Repeated rows, ties, nulls and odd characters, through streamed and edited messages, and an empty table."""
+    turns = [(1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, 1, "assistant", "a😀b</s>c"), (1, 1, "assistant", "x"), (1, 2, None, None), (None, 0, "assistant", None), (2, 5, "assistant", "z" * 50_001), (2, 5, "System", "[INST]\\e")]
+    table = spark.createDataFrame([(*t, "x") for t in turns], "conv_id long, turn long, role string, text string, message string").repartition(3)
+    log = chat.table_log(table)
+    assert {r["kind"] for r in log.collect()} == set(chat.KINDS)
+    got = {r["conv_id"]: r for r in chat.read_back(chat.render(chat.fold(log))).collect()}
+    want = defaultdict(list)
+    for c, t, role, text in sorted(turns, key=lambda x: (str(x[0]), x[1], x[2] or "", x[3] or "")):
+        want[c].append((role or "", text or ""))
+    assert {c: [tuple(t) for t in r["turns"]] for c, r in got.items()} == want
+    assert all(r["loss"] == [x for role, x in want[c] if role == "assistant"] for c, r in got.items())
+    assert chat.digests(chat.read_back(chat.render(chat.fold(chat.table_log(table.limit(0)))))).count() == 0
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 49_407), max_size=60), st.integers(0, 60))
 def test_bit_packing(ids, skip):
@@ -436,6 +492,18 @@ def test_ids_are_those_of_the_library(library, encoders, texts):
     assert [ids[a:b].tolist() for a, b in zip([0, *upto], upto)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="ab \t\n\r\x0b\x0c\x1c\x85\xa0é日", max_size=12)), max_size=6))
+def test_coded_words(texts):
+    import pyarrow as pa
+
+    codes, distinct, ends = common.coded_words(pa.array(["x", *texts], pa.string())[1:])
+    split = [WORD.findall(t or "") for t in texts]
+    assert [[distinct[c] for c in codes[a:b]] for a, b in zip([0, *ends], ends)] == split
+    codes, distinct = common.coded(split)
+    assert [distinct[c] for c in codes] == [w for ws in split for w in ws]
+
+
 def test_groups_and_values():
     assert [len(g) for g in pieces.in_groups(["aaa", "bb", "", "cccc"], 5)] == [2, 2] and list(pieces.in_groups([])) == []
     asked = []

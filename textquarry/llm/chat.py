@@ -95,13 +95,22 @@ def read_back(rendered: DataFrame) -> DataFrame:
     return rendered.withColumn("turns", turns).withColumn("loss", loss)
 
 
-def table_events(conversations: DataFrame) -> DataFrame:
-    """A table of whole turns as a log: each row is one ``message`` event, so repeated rows are turns of their own.
+def table_log(conversations: DataFrame) -> DataFrame:
+    """A table of whole turns as the log that led to it; repeated rows are turns of their own.
 
-    Turns of equal number are ordered by role, then text. The fold uses the same partitioning by conv_id again.
+    An assistant's turn is a message whose text is streamed: a first half, which is regenerated, then both halves. Any
+    other turn is an empty message that is edited into its text. Turns of equal number are ordered by role, then text.
+    The fold uses the same partitioning by conv_id again.
     """
     order = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))))
-    return conversations.select("conv_id", order.alias("seq"), F.lit("message").alias("kind"), order.alias("message"), "role", "text")
+    turns = conversations.select("conv_id", order.alias("message"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    first, rest = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))
+    log = lambda *events: F.array(*(F.struct(F.lit(k).alias("step"), F.lit(kind).alias("kind"), text.alias("piece")) for k, (kind, text) in enumerate(events)))
+    streamed = log(("message", F.lit("")), ("delta", first), ("regenerate", F.lit("")), ("delta", first), ("delta", rest))
+    typed = log(("message", F.lit("")), ("edit", F.col("text")))
+    events = turns.select("conv_id", "message", "role", F.explode(F.when(F.col("role") == "assistant", streamed).otherwise(typed)).alias("e"))
+    return events.select("conv_id", (F.col("message") * 8 + F.col("e.step")).alias("seq"), F.col("e.kind").alias("kind"), "message", "role", F.col("e.piece").alias("text"))
 
 
 def digests(read: DataFrame) -> DataFrame:

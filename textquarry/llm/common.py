@@ -7,8 +7,11 @@ import ctypes
 import gc
 import re
 from collections.abc import Callable
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +29,24 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text) if _ODD_SPACE.search(text) else text.split()
 
 
+def coded(texts: list[list[str]]) -> tuple[np.ndarray, list[str]]:
+    """All words of all texts in order, as numbers of the different ones, and these."""
+    found = pa.array(list(chain.from_iterable(texts)), pa.string()).dictionary_encode()
+    return found.indices.to_numpy(zero_copy_only=False), found.dictionary.to_pylist()
+
+
+def coded_words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """The same of the words of an array of texts, which are cut here; and how many words there are up to each text's end."""
+    split = pc.ascii_split_whitespace(texts.cast(pa.string()).fill_null(""))
+    found = split.flatten().dictionary_encode()
+    codes, distinct = found.indices.to_numpy(zero_copy_only=False), found.dictionary.to_pylist()
+    ends = np.cumsum(np.diff(split.offsets.to_numpy()))
+    if "" not in distinct:
+        return codes, distinct, ends
+    full = codes != distinct.index("")  # white space at a text's end leaves an empty string
+    return codes[full], distinct, np.append(0, np.cumsum(full))[ends]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept, mapped
+from .common import Kept, coded, mapped
 from .scripts import _RUNS
 
 #: Bound of the fit: texts per language, and n-grams per language.
@@ -70,7 +70,7 @@ class Words:
 
     FAR = -60.0  # of a language that is no candidate
 
-    def __init__(self, model: dict, most: int = 100_000):
+    def __init__(self, model: dict, most: int = 150_000):
         self.langs, self.scripts, self.most = model["langs"], model["scripts"], most
         # a row per known n-gram in the order of their keys, and the last one for all others
         keys = np.array([gram_key(g) for g in model["score"]], dtype=np.uint64)
@@ -111,20 +111,19 @@ class Words:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, at, len(self.score) - 1)
 
-    def rows(self, ws: list[str]) -> np.ndarray:
-        found = list(map(self.number.get, ws))
-        if None in found:
-            if len(self.number) > self.most:
-                self.clear()
-            new = list(dict.fromkeys(w for w in ws if w not in self.number))
-            for i in range(0, len(new), 4096):  # a bounded number of n-grams at once
-                part, k = new[i : i + 4096], len(self.number)
-                while k + len(part) > len(self.table):
-                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                self.table[k : k + len(part)] = self.many(part)
-                self.number.update(zip(part, range(k, k + len(part))))
-            found = list(map(self.number.__getitem__, ws))
-        return self.table[np.array(found)]
+    def learned(self, words: list[str]) -> np.ndarray:
+        """The rows of different words in the table, which is emptied first if it would hold more than `most`."""
+        new = [w for w in words if w not in self.number]
+        if len(self.number) + len(new) > self.most:
+            self.clear()
+            new = words
+        for i in range(0, len(new), 4096):  # a bounded number of n-grams at once
+            part, k = new[i : i + 4096], len(self.number)
+            while k + len(part) > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[k : k + len(part)] = self.many(part)
+            self.number.update(zip(part, range(k, k + len(part))))
+        return np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
 
 
 def viterbi(s: np.ndarray, penalty: float) -> np.ndarray:
@@ -137,7 +136,9 @@ def viterbi(s: np.ndarray, penalty: float) -> np.ndarray:
     more = s - s[:, j : j + 1]
     gain = np.zeros((n + 1, m))
     np.cumsum(more, axis=0, out=gain[1:])
-    if (gain - np.minimum.accumulate(gain, axis=0)).max() <= penalty and (m < 3 or np.delete(more, j, axis=1).max(axis=1).sum() <= penalty):
+    most = (gain - np.minimum.accumulate(gain, axis=0)).max()
+    # k stretches gain k * most together, which k - 1 changes cost at least if most is half a penalty
+    if most <= penalty and (m < 3 or 2 * most <= penalty or np.delete(more, j, axis=1).max(axis=1).sum() <= penalty):
         return np.full(n, j)
     d = s[0].tolist()
     back = []
@@ -157,23 +158,32 @@ def viterbi(s: np.ndarray, penalty: float) -> np.ndarray:
 
 def label(text: str | None, words: Words, penalty: float = PENALTY) -> tuple[str, float, list[tuple[int, int, str]]]:
     """(language, score, spans of (start, end, language) in code points)."""
-    at = [(m.start(), m.end()) for m in _LETTERS.finditer(text or "")]
-    return _label([text[a:b] for a, b in at], words, penalty, at) if at and words.langs else ("und", 0.0, [])
+    return labels([text], words, penalty)[0]
 
 
-def _label(ws: list[str], words: Words, penalty: float, at=None) -> tuple[str, float, list[tuple[int, int, str]]]:
-    s = words.rows(ws)
+def labels(texts: list[str | None], words: Words, penalty: float = PENALTY) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
+    """The same of many texts, whose new words are looked up together."""
+    if not words.langs:
+        return [("und", 0.0, [])] * len(texts)
+    found = [_LETTERS.findall(t or "") for t in texts]
+    codes, distinct = coded(found)
+    rows, size = words.learned(distinct)[codes], np.fromiter(map(len, distinct), dtype=np.float64, count=len(distinct))[codes]
+    upto = np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found)))
+    return [_label(t, ws, words.table[rows[b - len(ws) : b]], size[b - len(ws) : b], words, penalty) if ws else ("und", 0.0, []) for t, ws, b in zip(texts, found, upto.tolist(), strict=True)]
+
+
+def _label(text: str, ws: list[str], s: np.ndarray, sizes: np.ndarray, words: Words, penalty: float) -> tuple[str, float, list[tuple[int, int, str]]]:
     path = viterbi(s, penalty)
-    sizes = np.fromiter(map(len, ws), dtype=np.float64, count=len(ws))
     share = np.bincount(path, weights=sizes, minlength=len(words.langs)) / sizes.sum()
     j = int(share.argmax())
     mine = s[path == j].mean(axis=0)
     p = np.exp(mine - mine.max())
-    spans = []
-    if at:
-        cuts = np.flatnonzero(np.diff(path)) + 1
-        for a, b in zip([0, *cuts], [*cuts, len(ws)], strict=True):
-            spans.append((at[a][0], at[b - 1][1], words.langs[path[a]]))
+    cuts = np.flatnonzero(np.diff(path)) + 1
+    if len(cuts):
+        at = [m.span() for m in _LETTERS.finditer(text)]
+        spans = [(at[a][0], at[b - 1][1], words.langs[path[a]]) for a, b in zip([0, *cuts], [*cuts, len(ws)], strict=True)]
+    else:  # no letter stands before the first word or after the last
+        spans = [(text.index(ws[0]), text.rindex(ws[-1]) + len(ws[-1]), words.langs[j])]
     return words.langs[j], float(min(1.0, share[j] * p[j] / p.sum())), spans
 
 
@@ -209,10 +219,7 @@ def predict(docs: DataFrame, model: dict, keep: list[str], penalty: float = PENA
         known = Kept.get(key, lambda: Words(sent.value))
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            if spans:
-                made = [label(t, known, penalty) for t in texts]
-            else:
-                made = [_label(ws, known, penalty) if (ws := _LETTERS.findall(t or "")) and known.langs else ("und", 0.0, []) for t in texts]
+            made = labels(texts, known, penalty)
             out = [pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())]
             if spans:
                 out.append(pa.array([[{"start": a, "end": b, "lang": g} for a, b, g in m[2]] for m in made], kind))

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Kept, filtered_join, mapped, words, written
+from .common import coded_words, filtered_join, mapped, written
 from .components import components, least_reachable
 
 MISS, BLOCK, PIVOTS = 1.25e-5, 512, 8
@@ -48,21 +48,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(ws: list[str]) -> np.ndarray:
     """64-bit hashes of words, A-Z as a-z."""
-    known: dict[str, int] = Kept.get("word hashes", dict)
-    found = list(map(known.get, ws))
-    if None in found:
-        if len(known) > 100_000:
-            known.clear()
-        for w in ws:
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest((w.lower() if w.isascii() else w.translate(_LOWER)).encode())
-        found = list(map(known.__getitem__, ws))
-    return np.array(found, dtype=np.uint64)
-
-
-def shingles(text: str | None, size: int) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles."""
-    h = word_hashes(words(text or ""))
+    return np.fromiter((xxhash.xxh3_64_intdigest((w.lower() if w.isascii() else w.translate(_LOWER)).encode()) for w in ws), dtype=np.uint64, count=len(ws))
+
+
+def shingles(h: np.ndarray, size: int) -> np.ndarray:
+    """The sorted distinct hashes of the shingles of a text, from the hashes of its words."""
     if not len(h):
         return h
     n = min(size, len(h))
@@ -73,6 +63,16 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(out)
 
 
+def sets_of(texts: pa.Array, size: int):
+    """Each text's shingles; different words are hashed once."""
+    codes, distinct, ends = coded_words(texts)
+    h = word_hashes(distinct)[codes]
+    start = 0
+    for end in ends.tolist():
+        yield shingles(h[start:end], size)
+        start = end
+
+
 def banding(percent: int) -> tuple[int, int]:
     """Bands and rows for a threshold: rows fall with it, and bands are as many as MISS asks for."""
     rows = next(r for least, r in ((85, 6), (75, 5), (60, 4), (40, 3), (20, 2), (0, 1)) if percent >= least)
@@ -113,8 +113,7 @@ def sketch(docs: DataFrame, size: int, percent: int) -> DataFrame:
     def work(batches):
         for batch in batches:
             n, sets, found = [], [], []
-            for text in batch.column("text").to_pylist():
-                s = shingles(text, size)
+            for s in sets_of(batch.column("text"), size):
                 n.append(len(s))
                 sets.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 found.append(bands(s, n_bands, rows) if len(s) else None)
@@ -163,7 +162,7 @@ def confirm(members: DataFrame, size: int, percent: int, parts: int) -> DataFram
 
         key, sides, out = None, ([], []), []
         for batch in batches:
-            for c, a, b, side, doc, text in zip(*(batch.column(x).to_pylist() for x in ("cluster", "a", "b", "side", "doc_id", "text")), strict=True):
+            for c, a, b, side, doc, s in zip(*(batch.column(x).to_pylist() for x in ("cluster", "a", "b", "side", "doc_id")), sets_of(batch.column("text"), size), strict=True):
                 if (c, a, b) != key:
                     if key:
                         out += spanning(key[1] == key[2], *sides)
@@ -171,7 +170,7 @@ def confirm(members: DataFrame, size: int, percent: int, parts: int) -> DataFram
                     if len(out) > 4096:
                         yield batch_of(out)
                         out = []
-                sides[side].append((doc, shingles(text, size)))
+                sides[side].append((doc, s))
         if key:
             out += spanning(key[1] == key[2], *sides)
         yield batch_of(out)

@@ -25,7 +25,7 @@ def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rated = quality.rate(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), ["doc_id"], lang="lang")
+    rated = quality.rate_corpus(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), ["doc_id"], lang="lang")
     return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "chars_per_token", "byte_share", "token_entropy", "script")
 
 
@@ -36,7 +36,7 @@ def held_out():
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs, ~F.coalesce(held_out(), F.lit(True)))
-    return langid.predict(docs, model, ["doc_id"]).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return langid.predict(docs, model, ["doc_id"], spans=True).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["lang"], s["start"].cast("string"), s["end"].cast("string"))), ",").alias("spans"))
 
 
 def op5_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
-    return chat.digests(chat.read_back(chat.render(chat.fold(chat.table_events(turns)))))
+    return chat.digests(chat.read_back(chat.render(chat.fold(chat.table_log(turns)))))
 
 
 def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
