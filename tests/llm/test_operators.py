@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.compare import same_as_sql
-from textquarry.llm import bpe, chat, common, files, langid, lexicon, minhash, mixing, pieces, pii, pq, quality, queries, shards, tokenfile, warc
+from textquarry.llm import bloom, bpe, chat, common, files, langid, lexicon, minhash, mixing, pieces, pii, pq, quality, queries, shards, tokenfile, warc
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -142,7 +142,7 @@ def test_scores_of_the_graph(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     edges = {(e["pattern"], e["value"], e["kind"], e["seed"]) for r in pii.scan(docs).collect() for e in r["edges"]}
     asked = {p for p, _, _, seed in edges if not seed}
-    words_at = {r["pattern"]: r["against"] for r in pii.against(docs, sorted(asked)).collect()}
+    words_at = {r["pattern"]: r["against"] for r in pii.against(docs, spark.createDataFrame([(p,) for p in sorted(asked)], "pattern string")).collect()}
     assert words_at["2:with card"] == words_at["1:card"] == words_at["s:card _ today"] == 2 and "1:line" not in words_at
     known = {v: 1.0 for _, v, _, seed in edges if seed}
     while True:
@@ -171,6 +171,23 @@ def test_scores_of_the_graph(spark):
     assert len(want) == 6 and got == {v: pytest.approx(s) for v, s in want.items()}
 
 
+@pytest.mark.parametrize("n", [0, 1, 3_000])
+def test_filter_of_strings(spark, n):
+    inside = [f"1:wörd {i}" for i in range(n)] + ["", "日本"][: min(n, 2)]
+    bits = bloom.bloom(spark.createDataFrame([(s,) for s in [*inside, *inside, None]], "key string"), len(inside))
+    assert bloom.among(bits, inside).all() and bloom.among(bits, []).tolist() == []
+    assert bloom.among(bits, [f"2:other {i}" for i in range(5_000)]).mean() < 0.04
+    full = bloom.bloom(spark.range(10).select(F.col("id").cast("string").alias("key")), 10**9)
+    assert 64 * len(full) == bloom.MOST_BITS and bloom.among(full, [str(i) for i in range(12)]).tolist() == [True] * 10 + [False] * 2
+
+
+def test_words_against_fronts(spark):
+    rows = [(1, "see ref:apple or ref:pear and ref:4111111111111111 of (ref:plum"), (2, "ref:apple"), (3, None), (4, "")]
+    asked = spark.createDataFrame([("j:ref:",), ("j:(ref:",), ("1:or",), ("1:nowhere",)], "pattern string")
+    found = {r["pattern"]: r["against"] for r in pii.against(spark.createDataFrame(rows, "doc_id long, text string"), asked).collect()}
+    assert found == {"j:ref:": 2, "j:(ref:": 1, "1:or": 1}
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(12, 16))

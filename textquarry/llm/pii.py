@@ -14,7 +14,8 @@ instance is as good as its patterns taken together; what reaches `accept` become
 
 The scan leaves one small row per document and the graph holds a row per pattern and instance, counted before it is
 shuffled. Texts are read again, and not shuffled, in each round that brings patterns whose ordinary words are not yet
-counted; of them only the patterns with `support` that some look-alike stands in are sent to the tasks.
+counted: those with `support` that some look-alike stands in. They grow with the corpus and stay in tables; tasks get a
+filter of them of 8 MB at most.
 
 A run of more than 19 digits is several numbers: every few neighbouring words of it are a look-alike. What holds too
 few digits for its kind (card 12 to 19, phone LEAST_DIGITS to 15), is joined to letters or digits on
@@ -30,11 +31,13 @@ import hashlib
 import re
 from bisect import bisect_left
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import among, bloom
 from .common import mapped, written
 
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -290,33 +293,48 @@ def ordinary(r: list[str], i: int) -> bool:
     return digits < LEAST_DIGITS and len(w.split(".")) < 4
 
 
-def against(docs: DataFrame, wanted: list[str]) -> DataFrame:
-    """(pattern, against): how many different ordinary words stand where these patterns have their instances."""
-    sent = docs.sparkSession.sparkContext.broadcast(frozenset(wanted))
+def against(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(pattern, against): how many different ordinary words stand where the patterns of wanted (pattern) have their instances.
+
+    Patterns grow with the corpus, so tasks do not get them but a filter of them of bounded size: 8 MB at most. What
+    passes the filter and is not wanted is left out by a join. A pattern without ordinary words has no row.
+    """
+    key = F.col("pattern")
+    is_front = key.startswith("j:")
+    words = F.split(F.substring(key, 3, 1 << 20), " ")
+    # the word before the place, and what is joined to its front
+    left = F.when(key.startswith("2:"), words[1]).otherwise(words[0])
+    keys = wanted.select(F.explode(F.array(key, F.when(~is_front, F.concat(F.lit("l:"), left)))).alias("key"))
+    bits = docs.sparkSession.sparkContext.broadcast(bloom(keys, 2 * wanted.count()))
+    # words count by their last 24 characters, so these are 24 numbers at most
+    lengths = [r["n"] for r in wanted.filter(is_front).select((F.length("pattern") - 2).alias("n")).distinct().collect()]
 
     def work(batches):
-        asked = sent.value
-        # the word before the place, and what is joined to its front
-        lefts = {p[2:].split(" ")[1 if p[0] == "2" else 0] for p in asked if p[0] != "j"}
-        fronts = sorted({p[2:] for p in asked if p[0] == "j"}, key=len, reverse=True)
-        front = re.compile("|".join(map(re.escape, fronts))) if fronts else None
+        may = lambda strings: among(bits.value, strings)
         seen = set()
         for batch in batches:
+            lefts, fronts = {}, {}
             for text in batch.column("text").to_pylist():
                 low = (text or "").lower()
                 r = low.split()
                 t = ["x", "x", *(w[-24:] for w in _NUMBER.sub("0", low).split()), ""]
-                if front:
+                fresh = list(set(t) - lefts.keys())
+                lefts.update(zip(fresh, may([f"l:{w}" for w in fresh]).tolist(), strict=True))
+                if lengths:
+                    cuts = [(w, w[:n]) for w in fresh for n in lengths if n < len(w)]
+                    for (w, f), hit in zip(cuts, may([f"j:{f}" for _, f in cuts]).tolist(), strict=True):
+                        if hit:
+                            fronts.setdefault(w, []).append(f)
                     for i, w in enumerate(r):
-                        m = front.match(t[i + 2])
-                        if m and len(w) > m.end() and ordinary([w[m.end() :], *r[i + 1 : i + 8]], 0):
-                            seen |= {(f"j:{f}", w) for f in fronts if t[i + 2].startswith(f) and len(t[i + 2]) > len(f)}
-                if lefts.isdisjoint(t):
-                    continue
-                for i, w in enumerate(r):
-                    near = t[i + 1]
-                    if near in lefts and ordinary(r, i):
-                        seen |= {(p, w) for p in (f"2:{t[i]} {near}", f"s:{near} _ {t[i + 3]}", f"1:{near}") if p in asked}
+                        for f in fronts.get(t[i + 2], ()):
+                            if len(w) > len(f) and ordinary([w[len(f) :], *r[i + 1 : i + 8]], 0):
+                                seen.add((f"j:{f}", w))
+                places = [i for i in range(len(r)) if lefts[t[i + 1]]]
+                at = [p for i in places for p in (f"2:{t[i]} {t[i + 1]}", f"s:{t[i + 1]} _ {t[i + 3]}", f"1:{t[i + 1]}")]
+                hits = may(at).reshape(-1, 3)
+                for k in np.flatnonzero(hits.any(axis=1)).tolist():
+                    if ordinary(r, places[k]):
+                        seen |= {(at[3 * k + x], r[places[k]]) for x in range(3) if hits[k, x]}
             if len(seen) > 100_000:
                 yield rows_of(seen)
                 seen = set()
@@ -326,7 +344,8 @@ def against(docs: DataFrame, wanted: list[str]) -> DataFrame:
         rows = list(seen)
         return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.string()), pa.array([_hash(w) for _, w in rows], pa.int64())], ["pattern", "word"])
 
-    return mapped(docs.select("text"), work, "pattern string, word long", "pii").distinct().groupBy("pattern").agg(F.count("*").alias("against"))
+    found = mapped(docs.select("text"), work, "pattern string, word long", "pii").distinct().groupBy("pattern").agg(F.count("*").alias("against"))
+    return found.join(wanted, "pattern", "left_semi")
 
 
 def bootstrap(edges: DataFrame, docs: DataFrame, support: float = SUPPORT, pattern_from: float = PATTERN_FROM, accept: float = ACCEPT) -> DataFrame:
@@ -336,7 +355,7 @@ def bootstrap(edges: DataFrame, docs: DataFrame, support: float = SUPPORT, patte
     looks = edges.filter(~F.col("seed"))
     asked = looks.select("pattern").distinct()
     found = written(seeds.limit(0), "pii-found")
-    counted, counts = set(), None
+    counted = counts = None
     while True:
         known = seeds.unionByName(found)
         by_kind = edges.join(asked, "pattern", "left_semi").join(known, "value").groupBy("pattern", "kind").agg(F.sum("known").alias("known"))
@@ -344,11 +363,12 @@ def bootstrap(edges: DataFrame, docs: DataFrame, support: float = SUPPORT, patte
         best = by_kind.groupBy("pattern").agg(F.sum("known").alias("all"), F.max_by("kind", F.struct("known", -F.col("kind"))).alias("kind"), F.max("known").alias("known"))
         best = best.filter((F.col("known") >= support) & (F.col("known") / (F.col("all") + 1) >= pattern_from))
         best = written(best, "pii-patterns")
-        new = [r["pattern"] for r in best.select("pattern").toLocalIterator() if r["pattern"] not in counted]
-        if new:
+        new = best.select("pattern") if counted is None else best.select("pattern").join(counted, "pattern", "left_anti")
+        new = written(new, "pii-asked")
+        if not new.isEmpty():
             more = written(against(docs, new), "pii-against")
             counts = more if counts is None else counts.unionByName(more)
-            counted.update(new)
+            counted = new if counted is None else counted.unionByName(new)
         if counts is None:
             break
         good = best.join(counts, "pattern", "left").select("pattern", "kind", (F.col("known") / (F.col("all") + F.coalesce("against", F.lit(0)) + 1)).alias("score")).filter(F.col("score") >= pattern_from)
