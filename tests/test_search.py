@@ -120,6 +120,34 @@ def test_command_line(spark, tmp_path, monkeypatch):
         cli.arguments(["--unknown"])
 
 
+def _passes(df):
+    """How often the plan cuts texts."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+
+
+def test_queries_cut_texts_once(spark):
+    """A query on an index that is neither saved nor cached: one pass over the texts, which sends back its own words alone."""
+    texts = [(i, "", t) for i, t in enumerate(["Tions of tioning, the tie 12 1234", "ties ties ther", "", None, "tion ther tion reed", "AY ayed aying ai a"])]
+    made = build(spark.createDataFrame(texts, "doc_id long, title string, text string"))
+    whole, words = made.cached(), ["tion", "ther", "ti", "ai", "12", "1234", "absent"]
+    part = made.restricted(words)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    asked = lambda df: rows(df.filter(df["term"].isin(words)))
+    assert rows(part.postings) == asked(whole.postings) != [] and rows(part.terms) == asked(whole.terms)
+    assert rows(part.docs) == rows(whole.docs) == rows(made.docs) and rows(part.stats) == rows(whole.stats) and whole.restricted(words) is whole
+    for query in ("tion ther", "tion AND ther", '"tion ther"', "reed tion NOT ther", "absent"):
+        got = search(made, query)
+        assert _passes(got) == 0 and rows(got) == rows(search(whole, query))
+    assert _passes(search_batch(made, {0: "tion", 1: "ther reed"})) == _passes(score_document(made, ["tion"], 4)) == 0
+    assert _passes(made.docs) == 1
+    whole.dropped()
+
+
+def test_many_probes_are_one_scan(spark):
+    df = retrieval.queries()["posting_find_all"](spark, SF)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1 and _passes(df) == 0
+
+
 def test_streaming(spark, tmp_path):
     fields = "doc_id long, title string, text string"
     for i, rows in enumerate(([(1, "a", "rust rust"), (2, "b", "python")], [(2, "b", "rust only now"), (3, "c", ""), (3, "c", "")])):

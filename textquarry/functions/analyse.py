@@ -11,8 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from ..sources.shared import limited, tidy
 from .stem import stem
 from .stopwords import DEFAULT
 
@@ -40,20 +42,35 @@ def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 class Terms:
-    """Terms of tokens: None for stopwords and numbers of up to three digits."""
+    """Terms of tokens; stopwords and numbers of up to three digits have none. only: the terms that are asked for, if not all."""
 
-    def __init__(self, stopwords: frozenset[str]):
-        self.stopwords, self.known = stopwords, {}
+    def __init__(self, stopwords: frozenset[str], only: frozenset[str] | None = None):
+        self.stopwords, self.only, self.known = pa.array(sorted(stopwords), pa.string()), only, {}
+        # no ending that the stemmer takes off or changes has the first letter in it
+        self.begins = np.isin(np.arange(256), [ord(t[0]) for t in only if t]) if only is not None else np.ones(256, dtype=bool)
 
-    def of(self, tokens: list[bytes]) -> list[str | None]:
+    def of(self, tokens: pa.Array) -> tuple[list[str], np.ndarray]:
+        """The different terms that are asked for, sorted; a number per token: the term's, their count if not asked for, -1 for none."""
         if len(self.known) > KNOWN:
             self.known = {}
-        known = self.known
-        for t in tokens:
-            if t not in known:
-                w = t.decode()
-                known[t] = None if w in self.stopwords or len(w) < 4 and w.isdigit() else stem(w)
-        return [known[t] for t in tokens]
+        words = tokens.cast(pa.string())
+        short = pc.and_(pc.less(pc.binary_length(words), 4), pc.ascii_is_decimal(words))
+        kept = ~pc.or_(short, pc.is_in(words, value_set=self.stopwords)).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(kept)
+        if self.only is not None and len(at):
+            first = np.frombuffer(tokens.buffers()[2], dtype=np.uint8)[np.frombuffer(tokens.buffers()[1], dtype=np.int32)[tokens.offset :][at]]
+            at = at[self.begins[first]]
+        known, found = self.known, []
+        for w in words.take(pa.array(at)).to_pylist():
+            t = known.get(w)
+            if t is None:
+                t = known[w] = stem(w)
+            found.append(t)
+        names = sorted(set(found) if self.only is None else self.only.intersection(found))
+        number = {t: k for k, t in enumerate(names)}
+        out = np.where(kept, len(names), -1)
+        out[at] = [number.get(t, len(names)) for t in found]
+        return names, out
 
 
 def postings_of(texts: pa.Array, doc_ids: pa.Array, titles: pa.Array, terms: Terms) -> pa.RecordBatch:
@@ -62,20 +79,18 @@ def postings_of(texts: pa.Array, doc_ids: pa.Array, titles: pa.Array, terms: Ter
     coded = tokens.dictionary_encode()
     count = np.diff(upto, prepend=0)
     doc = np.repeat(np.arange(len(texts)), count)
-    position = np.arange(len(tokens)) - np.repeat(upto - count, count)
-    of_token = terms.of(coded.dictionary.to_pylist())
-    names = sorted({t for t in of_token if t is not None})
-    number = {t: k for k, t in enumerate(names)}
-    term = np.array([-1 if t is None else number[t] for t in of_token], dtype=np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if len(tokens) else np.empty(0, dtype=np.int64)
-    kept = term >= 0
-    doc, position = doc[kept], position[kept]
+    names, of_token = terms.of(coded.dictionary)
+    term = of_token[coded.indices.to_numpy(zero_copy_only=False)] if len(tokens) else np.empty(0, dtype=np.int64)
+    length = np.bincount(doc[term >= 0], minlength=len(texts)).astype(np.int32)
+    kept = np.flatnonzero((term >= 0) & (term < len(names)))
+    doc = doc[kept]
+    position = kept - (upto - count)[doc]
     key = doc * max(1, len(names)) + term[kept]
     order = np.argsort(key, kind="stable")
     key = key[order]
     begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, dtype=np.int64)
     ends = np.append(begin, len(key))
     of_doc = key[begin] // max(1, len(names))
-    length = np.bincount(doc, minlength=len(texts)).astype(np.int32)
     none, n = len(texts), len(begin)
     lists = pa.ListArray.from_arrays(pa.array(np.append(ends, np.full(none, len(key))).astype(np.int32)), pa.array(position[order].astype(np.int32)))
     every = np.append(of_doc, np.arange(none))
@@ -89,14 +104,16 @@ def postings_of(texts: pa.Array, doc_ids: pa.Array, titles: pa.Array, terms: Ter
     )
 
 
-def analysed(corpus: DataFrame, stopwords: frozenset[str] = DEFAULT) -> DataFrame:
+def analysed(corpus: DataFrame, stopwords: frozenset[str] = DEFAULT, only: frozenset[str] | None = None) -> DataFrame:
     """ROWS of corpus (doc_id, title, text), whose ids are different: its postings, and a row without a term for each document.
 
-    A null text is empty: its document has length 0.
+    A null text is empty: its document has length 0. only: the terms whose postings are wanted; lengths count all terms,
+    but tokens that cannot become one of these are not stemmed, sorted or sent back. Workers get batches that are bounded
+    in bytes.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms(stopwords)
+        terms = Terms(stopwords, only)
         for batch in batches:
             texts = batch.column("text").cast(pa.string()).fill_null("")
             size = np.cumsum(np.diff(np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1]))
@@ -106,5 +123,8 @@ def analysed(corpus: DataFrame, stopwords: frozenset[str] = DEFAULT) -> DataFram
                 part = slice(start, stop)
                 yield postings_of(texts[part], batch.column("doc_id")[part], batch.column("title")[part], terms)
                 start = stop
+        terms.known.clear()
+        tidy()
 
+    limited(corpus.sparkSession)
     return corpus.select(corpus["doc_id"].cast("long").alias("doc_id"), corpus["title"].cast("string").alias("title"), "text").mapInArrow(work, ROWS)

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.analyse import analysed
 from ..functions.stopwords import DEFAULT
+from ..sources.shared import new_path
 
 FORMAT_VERSION = 2
+#: Terms that the tasks of one pass are told to look for; for more, a pass makes the postings of all.
+MOST = 100_000
 
 
 @dataclass(frozen=True)
@@ -19,7 +22,8 @@ class Index:
     """docs (doc_id, length, title), postings (term, doc_id, tf, positions, length), terms (term, df, idf), stats (one row).
 
     A posting carries its document's length, so ranking reads no other table. rows: what docs and postings are both made
-    of, if they are. name: the folder of a saved index. key: of this object alone.
+    of, if they are. source: the corpus and stopwords of an index that is neither saved nor cached, which each use cuts
+    anew. name: the folder of a saved index. key: of this object alone.
     """
 
     docs: DataFrame
@@ -28,12 +32,28 @@ class Index:
     stats: DataFrame
     name: str = ""
     rows: DataFrame | None = None
+    source: tuple[DataFrame, frozenset[str]] | None = None
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def cached(self) -> Index:
-        for df in (self.rows or self.postings, self.docs, self.terms, self.stats):
+        made = self if self.source is None else replace(from_rows(self.rows), name=self.name, key=self.key)
+        for df in (made.rows or made.postings, made.docs, made.terms, made.stats):
             df.persist()
-        return self
+        return made
+
+    def restricted(self, terms) -> Index:
+        """The same index as far as these terms go: their postings, frequencies and idfs, all documents, the same statistics.
+
+        Of a corpus that is not saved or cached, one pass over all texts makes them. It is run at once, and what it
+        makes, small beside the texts, is written to the shared folder: all that a query asks afterwards reads that.
+        """
+        if self.source is None:
+            return self
+        corpus, stopwords = self.source
+        wanted = frozenset(terms)
+        rows, path = analysed(corpus, stopwords, wanted if len(wanted) <= MOST else None), new_path(corpus.sparkSession, "rows")
+        rows.write.parquet(path)
+        return replace(from_rows(corpus.sparkSession.read.schema(rows.schema).parquet(path)), key=self.key)
 
     def dropped(self) -> None:
         for df in (self.rows or self.postings, self.docs, self.terms, self.stats):
@@ -71,9 +91,17 @@ def from_postings(docs: DataFrame, lists: DataFrame, name: str = "", rows: DataF
 
 def from_rows(rows: DataFrame) -> Index:
     """An index of what `analysed` made of a corpus."""
-    return from_postings(rows.filter("term IS NULL").select("doc_id", "length", "title"), _postings(rows), rows=rows)
+    return from_postings(_docs(rows), _postings(rows), rows=rows)
+
+
+def _docs(rows: DataFrame) -> DataFrame:
+    return rows.filter("term IS NULL").select("doc_id", "length", "title")
 
 
 def build(corpus: DataFrame, stopwords: frozenset[str] = DEFAULT) -> Index:
-    """An index of corpus (doc_id, title, text). Documents without a kept token have length 0 and count in the average."""
-    return from_rows(analysed(corpus, stopwords))
+    """An index of corpus (doc_id, title, text). Documents without a kept token have length 0 and count in the average.
+
+    Documents and statistics come from a pass of their own that makes no postings.
+    """
+    rows = analysed(corpus, stopwords)
+    return replace(from_postings(_docs(analysed(corpus, stopwords, frozenset())), _postings(rows), rows=rows), source=(corpus, stopwords))

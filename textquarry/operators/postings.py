@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,11 @@ def find(postings: DataFrame, term: str, doc_id: int) -> DataFrame:
     return lookup(postings, term).filter(F.col("doc_id") == doc_id)
 
 
+def find_all(postings: DataFrame, terms: Iterable[str], doc_ids: Iterable[int]) -> DataFrame:
+    """The postings of each of the terms in each of the documents that hold it, in one scan."""
+    return postings.filter(F.col("term").isin(sorted(set(terms))) & F.col("doc_id").isin(sorted(set(doc_ids))))
+
+
 def seek(postings: DataFrame, term: str, doc_id: int, past: bool = False) -> DataFrame:
     """The first posting of a term at doc_id or later; strictly later if past."""
     after = F.col("doc_id") > doc_id if past else F.col("doc_id") >= doc_id

@@ -69,6 +69,7 @@ def matches(index: Index, node: Node, config: Config = Config()) -> DataFrame:
     read: positions only for phrases. Every scoring term counts on every admitted document.
     """
     terms, times = sorted(all_terms(node)), scoring_terms(node)
+    index = index.restricted(terms)
     phrase = has_phrase(node)
     rows = index.postings.filter(F.col("term").isin(terms)).select("term", "doc_id", "tf", "length", *(["positions"] if phrase else []))
     # as many rows as the query has words
@@ -93,6 +94,7 @@ def execute(index: Index, node: Node | None, config: Config = Config()) -> DataF
     spark = index.docs.sparkSession
     if node is None or config.top_k <= 0:
         return spark.createDataFrame([], RESULT)
+    index = index.restricted(all_terms(node))
     top = matches(index, node, config).filter(F.col("score") > 0)
     order = (F.desc("score"), F.col("doc_id"))
     shown = ("rank", "doc_id", F.round("score", 6).alias("score"), "title")
@@ -115,6 +117,7 @@ def search(index: Index, query: str, config: Config = Config()) -> DataFrame:
 def score_document(index: Index, terms: list[str], doc_id: int, config: Config = Config()) -> DataFrame:
     """(doc_id, score): one document's score for a list of terms; 0 where nothing is found."""
     times = Counter(terms)
+    index = index.restricted(times)
     spark = index.docs.sparkSession
     weights = F.broadcast(spark.createDataFrame([(t, float(n)) for t, n in times.items()], "term string, times double"))
     rows = index.postings.filter((F.col("doc_id") == doc_id) & F.col("term").isin(list(times))).join(weights, "term").join(F.broadcast(index.terms.filter(F.col("term").isin(list(times)))), "term")
@@ -143,6 +146,7 @@ def search_batch(index: Index, queries: list[tuple[int, str]] | dict[int, str],
         rows += [(i, k, int(slot[1:]), t, float(times[t])) for t, slot in slots.items()]
     if not rows:
         return spark.createDataFrame([], "query_id long, " + RESULT)
+    index = index.restricted(r[3] for r in rows)
     most = max(r[2] for r in rows) + 1
     wanted = spark.createDataFrame(rows, "query_id long, shape int, slot int, term string, times double")  # the queries' words
     phrase = any(has_phrase(n) for _, n in shapes.values())
