@@ -211,6 +211,23 @@ def test_sources(spark, tmp_path):
     assert {(r["title"], r["text"]) for r in ingest.read_directory(spark, f"file://{tmp_path}/d").collect()} == {("a.txt", "one\ntwo"), ("empty.md", ""), ("b.text", "two")}
 
 
+def test_folders_are_listed_in_one_call(spark, tmp_path, monkeypatch):
+    """The driver asks the JVM no question per file; names with odd letters and empty files are found."""
+    from py4j.java_gateway import GatewayClient
+    from py4j.clientserver import JavaClient
+
+    names = [f"{i:03}.txt" for i in range(300)] + ["x é+ %41.md"]
+    for name in names:
+        (tmp_path / name).write_text("" if name == "007.txt" else name)
+    asked, send = [], JavaClient.send_command
+    assert issubclass(JavaClient, GatewayClient)
+    monkeypatch.setattr(JavaClient, "send_command", lambda self, *a, **b: asked.append(1) or send(self, *a, **b))
+    made = ingest.read_directory(spark, f"file://{tmp_path}")
+    assert len(asked) < 250
+    monkeypatch.undo()
+    assert [tuple(r) for r in made.orderBy("doc_id").collect()] == [(i, n, "" if n == "007.txt" else n) for i, n in enumerate(names)]
+
+
 def test_saved_index(spark, small, tmp_path):
     path = f"file://{tmp_path}/index"
     store.save(small, path)
