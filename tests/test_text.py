@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from textquarry.functions import analyse
 from textquarry.functions.analyse import analysed
-from textquarry.functions.stem import STEP2, STEP3, STEP4, stem, with_stem
+from textquarry.functions.stem import STEP2, STEP3, STEP4, stem, stems, with_stem
 from textquarry.functions.stopwords import DEFAULT, parse
 from textquarry.functions.text import normalized, token_rows
 from textquarry.plans.query import And, Not, Or, Phrase, Term
@@ -66,6 +66,20 @@ def test_native_stems_are_the_same(spark):
     assert len(words) > 500 and got == {w: stem(w) for w in words}
 
 
+def test_stems_of_arrays_are_the_same():
+    made = ["", "s", "y", "yyy", "ies", "sses", "eed", "x" * 10000 + "ing"]
+
+    @settings(max_examples=5000, deadline=None, database=None)
+    @given(st.text(alphabet="abcdeiloustyyz09", max_size=6), ENDINGS, ENDINGS, ENDINGS)
+    def collect(word, a, b, c):
+        made.append(word + a + b + c)
+
+    collect()
+    want = [stem(w) for w in made]
+    assert stems(pa.array(made)).to_pylist() == want and stems(pa.array(made)[7:99]).to_pylist() == want[7:99]
+    assert [stems(pa.array(ws, pa.string())).to_pylist() for ws in ([], [""], ["ab", ""])] == [[], [""], ["ab", ""]]
+
+
 def test_postings_are_those_of_the_tokens(spark):
     """One pass over many texts, against the tokens one by one: odd characters, empty and null texts, slices."""
     made = []

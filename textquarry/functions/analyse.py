@@ -15,10 +15,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from ..sources.shared import limited, tidy
-from .stem import stem
+from .stem import stems
 from .stopwords import DEFAULT
 
-SLICE, KNOWN = 4 << 20, 200_000
+SLICE = 4 << 20
 ROWS = "term string, doc_id long, tf int, positions array<int>, length int, title string"
 _LOWER = np.zeros(256, dtype=np.uint8)
 for _a, _b, _to in ((48, 58, 48), (65, 91, 97), (97, 123, 97)):
@@ -45,14 +45,12 @@ class Terms:
     """Terms of tokens; stopwords and numbers of up to three digits have none. only: the terms that are asked for, if not all."""
 
     def __init__(self, stopwords: frozenset[str], only: frozenset[str] | None = None):
-        self.stopwords, self.only, self.known = pa.array(sorted(stopwords), pa.string()), only, {}
+        self.stopwords, self.only = pa.array(sorted(stopwords), pa.string()), None if only is None else pa.array(sorted(only), pa.string())
         # no ending that the stemmer takes off or changes has the first letter in it
         self.begins = np.isin(np.arange(256), [ord(t[0]) for t in only if t]) if only is not None else np.ones(256, dtype=bool)
 
-    def of(self, tokens: pa.Array) -> tuple[list[str], np.ndarray]:
-        """The different terms that are asked for, sorted; a number per token: the term's, their count if not asked for, -1 for none."""
-        if len(self.known) > KNOWN:
-            self.known = {}
+    def of(self, tokens: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The terms that are asked for or found, sorted; a number per token: its term's, their count if not asked for, -1 for none."""
         words = tokens.cast(pa.string())
         short = pc.and_(pc.less(pc.binary_length(words), 4), pc.ascii_is_decimal(words))
         kept = ~pc.or_(short, pc.is_in(words, value_set=self.stopwords)).to_numpy(zero_copy_only=False)
@@ -60,16 +58,10 @@ class Terms:
         if self.only is not None and len(at):
             first = np.frombuffer(tokens.buffers()[2], dtype=np.uint8)[np.frombuffer(tokens.buffers()[1], dtype=np.int32)[tokens.offset :][at]]
             at = at[self.begins[first]]
-        known, found = self.known, []
-        for w in words.take(pa.array(at)).to_pylist():
-            t = known.get(w)
-            if t is None:
-                t = known[w] = stem(w)
-            found.append(t)
-        names = sorted(set(found) if self.only is None else self.only.intersection(found))
-        number = {t: k for k, t in enumerate(names)}
+        found = stems(words.take(pa.array(at)))
+        names = self.only if self.only is not None else (different := found.unique()).take(pc.sort_indices(different))
         out = np.where(kept, len(names), -1)
-        out[at] = [number.get(t, len(names)) for t in found]
+        out[at] = pc.index_in(found, value_set=names).fill_null(len(names)).to_numpy(zero_copy_only=False)
         return names, out
 
 
@@ -94,7 +86,7 @@ def postings_of(texts: pa.Array, doc_ids: pa.Array, titles: pa.Array, terms: Ter
     none, n = len(texts), len(begin)
     lists = pa.ListArray.from_arrays(pa.array(np.append(ends, np.full(none, len(key))).astype(np.int32)), pa.array(position[order].astype(np.int32)))
     every = np.append(of_doc, np.arange(none))
-    spelled = pa.array(names, pa.string()).take(pa.array(key[begin] % max(1, len(names))))
+    spelled = names.take(pa.array(key[begin] % max(1, len(names))))
     return pa.RecordBatch.from_arrays(
         [
             pa.concat_arrays([spelled, pa.nulls(none, pa.string())]), doc_ids.take(pa.array(every)), pa.array(np.append(np.diff(ends), np.zeros(none)).astype(np.int32)),
@@ -123,7 +115,6 @@ def analysed(corpus: DataFrame, stopwords: frozenset[str] = DEFAULT, only: froze
                 part = slice(start, stop)
                 yield postings_of(texts[part], batch.column("doc_id")[part], batch.column("title")[part], terms)
                 start = stop
-        terms.known.clear()
         tidy()
 
     limited(corpus.sparkSession)
