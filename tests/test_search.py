@@ -1,10 +1,14 @@
 import math
 
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 import __spark_entry__ as driver
 from tests.compare import same_as_sql
 from textquarry import cli
+from textquarry.functions import analyse
 from textquarry.operators.index import Index, build, from_postings
 from textquarry.operators.measure import percentiles, timed
 from textquarry.operators.search import Cache, Config, execute, score_document, search, search_batch, search_cached
@@ -246,3 +250,28 @@ def test_queries_match_sql(spark, name):
 def test_driver_entry(spark):
     assert driver.entry(spark).count() >= 0
     assert set(driver.oracle_sql()) <= set(driver.queries()) >= set(retrieval.queries())
+
+
+def test_saved_ranges(spark, tmp_path, monkeypatch):
+    """Ranges that are known before the postings are made hold every posting once, in order, and divide a frequent term."""
+    monkeypatch.setattr(store, "RANGE", 3000)
+    monkeypatch.setattr(store, "TRIED", 100)
+    corpus = ingest.from_table(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id", "text").union(spark.createDataFrame([(10**6 + i, "t", "common " * (i % 3)) for i in range(2000)], "doc_id long, title string, text string"))
+    made, path = build(corpus), f"file://{tmp_path}/index"
+    store.save(made, path)
+    again = store.load(spark, path)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(again.postings) == rows(made.postings) and rows(again.docs) == rows(made.docs) and rows(again.terms) == rows(made.terms) and again.summary() == made.summary()
+    files = [[(r["term"], r["doc_id"]) for r in spark.read.parquet(f"file://{f}").collect()] for f in (tmp_path / "index" / "postings").glob("*.parquet")]
+    files = sorted(f for f in files if f)
+    assert all(f == sorted(f) for f in files) and all(a[-1] < b[0] for a, b in zip(files, files[1:], strict=False))
+    assert len(files) > 5 and sum(any(t == "common" for t, _ in f) for f in files) > 1 and max(map(len, files)) < 3 * sum(map(len, files)) / len(files)
+    assert not (tmp_path / "index" / "_rows").exists()
+
+
+@given(st.lists(st.tuples(st.sampled_from("abcd"), st.integers(0, 9)), unique=True), st.lists(st.tuples(st.sampled_from("abcde"), st.integers(-1, 10))))
+@settings(deadline=None, database=None)
+def test_parts(bounds, rows):
+    bounds = sorted(bounds)
+    found = analyse.parts(pa.array([t for t, _ in rows], pa.string()), pa.array([d for _, d in rows], pa.int64()), bounds)
+    assert found.tolist() == [sum(b <= r for b in bounds) for r in rows]

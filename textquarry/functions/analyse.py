@@ -1,12 +1,13 @@
 """Documents to postings in one pass: a task cuts, filters, stems and groups the tokens of many documents at once.
 
 Tokens are found where bytes stop being [A-Za-z0-9]; the different ones of a slice are lowered, filtered and stemmed
-once; one sort by document and term then gives every posting of the slice. All tokens of a document are in its row, so
+once; one sort by term and document then gives every posting of the slice. All tokens of a document are in its row, so
 nothing is shuffled. A slice holds SLICE bytes of text, or one document.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,7 +67,7 @@ class Terms:
 
 
 def postings_of(texts: pa.Array, doc_ids: pa.Array, titles: pa.Array, terms: Terms) -> pa.RecordBatch:
-    """ROWS: the postings of these documents, in order of document and term, and a row without a term for each document."""
+    """ROWS: the postings of these documents, in order of term and place of the document, then a row without a term for each document."""
     tokens, upto = cut(texts)
     coded = tokens.dictionary_encode()
     count = np.diff(upto, prepend=0)
@@ -77,16 +78,16 @@ def postings_of(texts: pa.Array, doc_ids: pa.Array, titles: pa.Array, terms: Ter
     kept = np.flatnonzero((term >= 0) & (term < len(names)))
     doc = doc[kept]
     position = kept - (upto - count)[doc]
-    key = doc * max(1, len(names)) + term[kept]
+    key = term[kept] * max(1, len(texts)) + doc
     order = np.argsort(key, kind="stable")
     key = key[order]
     begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, dtype=np.int64)
     ends = np.append(begin, len(key))
-    of_doc = key[begin] // max(1, len(names))
+    of_doc = key[begin] % max(1, len(texts))
     none, n = len(texts), len(begin)
     lists = pa.ListArray.from_arrays(pa.array(np.append(ends, np.full(none, len(key))).astype(np.int32)), pa.array(position[order].astype(np.int32)))
     every = np.append(of_doc, np.arange(none))
-    spelled = names.take(pa.array(key[begin] % max(1, len(names))))
+    spelled = names.take(pa.array(key[begin] // max(1, len(texts))))
     return pa.RecordBatch.from_arrays(
         [
             pa.concat_arrays([spelled, pa.nulls(none, pa.string())]), doc_ids.take(pa.array(every)), pa.array(np.append(np.diff(ends), np.zeros(none)).astype(np.int32)),
@@ -107,15 +108,52 @@ def analysed(corpus: DataFrame, stopwords: frozenset[str] = DEFAULT, only: froze
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms(stopwords, only)
         for batch in batches:
-            texts = batch.column("text").cast(pa.string()).fill_null("")
-            size = np.cumsum(np.diff(np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1]))
-            start = 0
-            while start < len(texts):
-                stop = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + SLICE, "right")))
-                part = slice(start, stop)
-                yield postings_of(texts[part], batch.column("doc_id")[part], batch.column("title")[part], terms)
-                start = stop
+            yield from _slices(batch, terms)
         tidy()
 
+    return _columns(corpus).mapInArrow(work, ROWS)
+
+
+def ranged(corpus: DataFrame, bounds: list[tuple[str, int]], stopwords: frozenset[str] = DEFAULT) -> DataFrame:
+    """The postings of corpus (term, doc_id, tf, positions, length), and part: how many of the sorted bounds (term, doc_id) each has reached."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = Terms(stopwords)
+        for batch in batches:
+            for rows in _slices(batch, terms):
+                lists = rows.slice(0, rows.num_rows - rows.column("term").null_count).select(["term", "doc_id", "tf", "positions", "length"])
+                yield lists.append_column("part", pa.array(parts(lists.column("term"), lists.column("doc_id"), bounds)))
+        tidy()
+
+    return _columns(corpus).mapInArrow(work, "term string, doc_id long, tf int, positions array<int>, length int, part int")
+
+
+def parts(terms: pa.Array, doc_ids: pa.Array, bounds: list[tuple[str, int]]) -> np.ndarray:
+    """How many of the sorted bounds are at most (term, doc_id)."""
+    coded = terms.dictionary_encode()
+    firsts, of = [t for t, _ in bounds], coded.indices.to_numpy(zero_copy_only=False)
+    low, high = (np.array([f(firsts, t) for t in coded.dictionary.to_pylist()], dtype=np.int32) for f in (bisect_left, bisect_right))
+    out = low[of] if len(of) else np.empty(0, dtype=np.int32)
+    cut = np.flatnonzero((high > low)[of]) if len(of) else of
+    ids = doc_ids.to_numpy(zero_copy_only=False)
+    for k in np.unique(of[cut]):  # terms that bounds divide
+        rows = cut[of[cut] == k]
+        out[rows] += np.searchsorted(np.array([d for _, d in bounds[low[k] : high[k]]]), ids[rows], "right").astype(np.int32)
+    return out
+
+
+def _columns(corpus: DataFrame) -> DataFrame:
     limited(corpus.sparkSession)
-    return corpus.select(corpus["doc_id"].cast("long").alias("doc_id"), corpus["title"].cast("string").alias("title"), "text").mapInArrow(work, ROWS)
+    return corpus.select(corpus["doc_id"].cast("long").alias("doc_id"), corpus["title"].cast("string").alias("title"), "text")
+
+
+def _slices(batch: pa.RecordBatch, terms: Terms) -> Iterator[pa.RecordBatch]:
+    """ROWS of a batch (doc_id, title, text), slice by slice."""
+    texts = batch.column("text").cast(pa.string()).fill_null("")
+    size = np.cumsum(np.diff(np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1]))
+    start = 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + SLICE, "right")))
+        part = slice(start, stop)
+        yield postings_of(texts[part], batch.column("doc_id")[part], batch.column("title")[part], terms)
+        start = stop
