@@ -129,16 +129,15 @@ def ranged(corpus: DataFrame, bounds: list[tuple[str, int]], stopwords: frozense
 
 
 def parts(terms: pa.Array, doc_ids: pa.Array, bounds: list[tuple[str, int]]) -> np.ndarray:
-    """How many of the sorted bounds are at most (term, doc_id)."""
+    """How many of the sorted bounds are at most (term, doc_id), of rows sorted by term: bounds are looked up in the terms."""
     coded = terms.dictionary_encode()
-    firsts, of = [t for t, _ in bounds], coded.indices.to_numpy(zero_copy_only=False)
-    low, high = (np.array([f(firsts, t) for t in coded.dictionary.to_pylist()], dtype=np.int32) for f in (bisect_left, bisect_right))
+    names, of = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+    high, low = (np.cumsum(np.bincount([f(names, t) for t, _ in bounds], minlength=len(names) + 1), dtype=np.int32) if bounds else np.zeros(len(names) + 1, dtype=np.int32) for f in (bisect_left, bisect_right))
     out = low[of] if len(of) else np.empty(0, dtype=np.int32)
-    cut = np.flatnonzero((high > low)[of]) if len(of) else of
     ids = doc_ids.to_numpy(zero_copy_only=False)
-    for k in np.unique(of[cut]):  # terms that bounds divide
-        rows = cut[of[cut] == k]
-        out[rows] += np.searchsorted(np.array([d for _, d in bounds[low[k] : high[k]]]), ids[rows], "right").astype(np.int32)
+    for k in np.flatnonzero(high[: len(names)] > low[: len(names)]):  # terms that bounds divide
+        begin, end = np.searchsorted(of, [k, k + 1])
+        out[begin:end] += np.searchsorted(np.array([d for _, d in bounds[low[k] : high[k]]]), ids[begin:end], "right").astype(np.int32)
     return out
 
 
