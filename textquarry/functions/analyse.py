@@ -135,8 +135,8 @@ def parts(terms: pa.Array, doc_ids: pa.Array, bounds: list[tuple[str, int]]) ->
     high, low = (np.cumsum(np.bincount([f(names, t) for t, _ in bounds], minlength=len(names) + 1), dtype=np.int32) if bounds else np.zeros(len(names) + 1, dtype=np.int32) for f in (bisect_left, bisect_right))
     out = low[of] if len(of) else np.empty(0, dtype=np.int32)
     ids = doc_ids.to_numpy(zero_copy_only=False)
-    for k in np.flatnonzero(high[: len(names)] > low[: len(names)]):  # terms that bounds divide
-        begin, end = np.searchsorted(of, [k, k + 1])
+    divided = np.flatnonzero(high[: len(names)] > low[: len(names)]).astype(of.dtype)
+    for k, begin, end in zip(divided, np.searchsorted(of, divided), np.searchsorted(of, divided, "right"), strict=True):
         out[begin:end] += np.searchsorted(np.array([d for _, d in bounds[low[k] : high[k]]]), ids[begin:end], "right").astype(np.int32)
     return out
 
